@@ -43,3 +43,8 @@ def swap_text(spark: SparkSession, path: str, text: str) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     p, fs = _fs(spark, path)
     return fs.exists(p)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.getFileStatus(p).isDirectory()

@@ -16,7 +16,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.sources.files import read_text, swap_text
+from loomline.sources.files import is_folder, read_text, swap_text
 
 _ROW = ["k", "t", "received", "id"]
 DAY = 86_400_000_000
@@ -93,4 +93,6 @@ def drop_repeats(stream: DataFrame, store: SeenMessages) -> None:
 
 def parquet_stream(spark: SparkSession, path: str, max_bytes: int = 1 << 30) -> DataFrame:
     """A parquet table, in a file or a folder, as a stream of micro-batches of at most max_bytes."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", max_bytes).parquet(path)
+    # a stream's path must be a folder or a pattern; the pattern for a single file matches that file alone
+    source = path if is_folder(spark, path) else f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", max_bytes).parquet(source)
