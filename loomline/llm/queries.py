@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions.names import canonical, micros
 from loomline.llm import mixing
 from loomline.llm.percentiles import combine, frequencies, percentiles
+from loomline.llm.residue import find_residue
 from loomline.llm.source_check import check_files, rates
 from loomline.llm.tokens import encode
 from loomline.llm.topn import top_n
@@ -107,9 +108,28 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(written(_mixed(spark, d), "copies"), table(spark, d, "mix_targets"))
 
 
+# 10. residue
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_residue(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p10_residue(spark: SparkSession, d: str) -> DataFrame:
+    """Where the residue is: the unit of each document that windows cover most."""
+    return find_residue(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_clean(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id) of the documents that stay."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id").join(find_residue(docs, "doc_id", "text").select("doc_id"), "doc_id", "left_anti")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_faults": p2_faults, "p2_rates": p2_rates, "p4_found": p4_found, "p4_ranked": p4_ranked, "p7_percentiles": p7_percentiles, "p7_monthly": p7_monthly,
     "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_schedule": p9_schedule, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_residue": p10_residue, "p10_clean": p10_clean,
 }
 
 _NAME = "nullif(lower(trim({}, ' \t\r\n')), '')"

@@ -1,0 +1,205 @@
+"""Training text of the models in residue.py: written here, varied by rule and a fixed seed.
+
+Three classes: what stands in for text (placeholders, untouched forms, filler), notices shown instead of text
+(error pages and messages, demands for scripts), and natural prose, which also speaks about the first two.
+"""
+
+from __future__ import annotations
+
+import random
+from collections.abc import Iterator
+from itertools import product
+
+FIELDS = (
+    "summary", "title", "subject", "scope", "component", "reason", "reviewer", "ticket_id", "issue-number", "short description", "description", "author_name", "author_email",
+    "type", "your name", "name", "date", "version", "change", "body", "message", "ticket",
+)
+SYNTAXES = (
+    "{{{{ {0} }}}}", "{{{{{0}}}}}", "${{{0}}}", "$({0})", "#{{{0}}}", "%({0})s", "%{0}%", "<%= {0} %>", "<{0}>", "[{0}]", "{{{0}}}", "@@{0}@@", "__{0}__", "«{0}»", "<insert {0} here>", "[insert {0} here]", "〈{0}〉",
+)
+FRAMES = ("{a}", "{a}: {b}", "{a} - {b}", "[{a}] {b}", "{a} <{b}>", "Bump {a} to {b}", "Release {a}", "Refs {a}", "Ticket: {a}", "Reviewed-by: {a}", "Signed-off-by: {a}", "Release note: {a}", "{a}({b}): {c}")
+
+FORMS = (
+    "<!-- describe the change -->", "<!-- list the steps -->", "<!-- what was changed and why -->", "<!-- please fill in -->", "<!-- à remplir -->", "<!-- bitte ausfüllen -->", "<!-- rellenar -->", "<!-- 記入 -->",
+    "(please fill in)", "(bitte ausfüllen)", "(à remplir)", "(à compléter)", "(rellenar)", "(por completar)", "(記入してください)", "(未記入)", "(to be completed)", "(fill me in)",
+    "TICKET-000: your summary here", "Your summary here", "Your description here", "Enter a title here", "Write a short summary of the change here", "Describe your change here", "Add a description here",
+    "[Hier Beschreibung einfügen]", "<Kurztext eintragen>", "[Titel hier eintragen]", "<Betreff hier einfügen>", "<décrire la modification ici>", "[résumé à compléter]", "[insérer le titre ici]", "<titre à compléter>",
+    "[describir el cambio aquí]", "[describa el cambio aquí]", "<título pendiente>", "<insertar título aquí>", "[resumen pendiente]", "〈件名〉を入力してください", "［概要を入力］", "ここに変更内容を記入してください", "【件名をここに入力】", "(ここに説明を書く)",
+    "<type>(<scope>): <subject>", "<type>: <subject>", "TODO: write a message", "TODO fill in before merge",
+)
+FILLER = (
+    "Your text here. Your text here. Your text here.", "1234567890 abcdefghij 1234567890 abcdefghij", "Body copy to follow body copy to follow", "Heading one", "Heading two", "placeholder placeholder placeholder", "placeholder", "placeholder",
+    "Sample commit message goes here. Replace this text before you save.", "Sample text goes here. Replace this text before you publish.", "This is a sample text, to be replaced before sending.", "This is dummy text.",
+    "Dies ist ein Blindtext. Er steht hier, bis der echte Text kommt.", "Dies ist ein Beispieltext, bitte vor dem Speichern ersetzen.", "Ceci est un texte d'exemple, à remplacer avant l'envoi.", "Ceci est un faux texte.",
+    "Este es un texto de relleno, cámbielo antes de guardar.", "Texto de ejemplo, sustitúyalo antes de publicar.", "これはダミーテキストです。後で差し替えてください。", "サンプルテキストです。保存する前に置き換えてください。", "ここにテキストが入ります。",
+    "the quick brown fox jumps over the lazy dog", "foo bar baz qux", "foo bar foo bar baz",
+)
+REPEATED = ("tbd", "xxx", "foo", "bar", "bla", "blah", "test", "text", "asdf", "qwerty", "lorem", "dummy", "テキスト", "ダミー", "サンプル", "aaa", "abc", "n/a")
+#: Words of mock Latin.
+LATIN = (
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo "
+    "consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum dalor dolum emet "
+    "vorem nonum magnis tempora consecta adipis elitra tipsum sedque sat"
+).split()
+
+STATUSES = {
+    400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "Not Found", 405: "Method Not Allowed", 408: "Request Timeout", 410: "Gone", 413: "Payload Too Large", 418: "I'm a teapot",
+    429: "Too Many Requests", 500: "Internal Server Error", 501: "Not Implemented", 502: "Bad Gateway", 503: "Service Unavailable", 504: "Gateway Timeout",
+}
+STATUS_FRAMES = (
+    "{c} {s}", "Error {c}: {s}", "{s} ({c})", "HTTP {c} - {s}", "HTTP/1.1 {c} {s}", "Error: {s}", '{{"message": "{s}", "status": "{c}", "request": "0a0b0c0d"}}', '{{"error":{{"code":{c},"reason":"{s}"}}}}',
+    "<Error><Code>{x}</Code><RequestId>0a0b0c0d</RequestId></Error>", "<head><title>{c} {s}</title></head>", "<h1>{c} {s}</h1>", "<title>{s}</title>",
+)
+_THINGS = ("page", "page you asked for", "requested object", "commit", "commit view", "diff", "comparison", "file list", "repository", "resource", "document", "request")
+_FATES = (
+    "was not found", "could not be found on this server", "could not be found on host.example", "could not be drawn", "could not be completed", "could not be shown", "failed to load", "took too long to load", "took too long to respond", "is temporarily not available",
+    "got no answer from the back end", "was refused by the server", "was not served", "has been moved or deleted", "does not exist",
+)
+_CAUSES = (
+    "Something broke on our side.", "Something went wrong.", "Oops!", "Sorry.", "Unexpected failure.", "Access denied.", "Permission denied.", "You are not allowed here.", "You lack the right to view this commit.", "This project is private.",
+    "Your session has ended.", "Your session has expired.", "Your sign-in has run out.", "You have been signed out.", "Please log in.", "Rate limit reached.", "Too many requests.", "Slow down.", "You have used up your hourly share of calls.",
+    "Zugriff verweigert.", "Seite nicht gefunden.", "Zu viele Anfragen.", "Dienst zurzeit nicht verfügbar.", "Die Sitzung ist abgelaufen.", "Fehler 500:", "Accès refusé.", "Page introuvable.", "Trop de requêtes.", "Service indisponible.", "Votre session a expiré.", "Erreur 500 :",
+    "Acceso denegado.", "Página no encontrada.", "Demasiadas solicitudes.", "Servicio no disponible.", "La sesión ha caducado.", "Error 500:", "ページが見つかりません。", "アクセスが拒否されました。", "アクセスが集中しています。", "サービスは現在利用できません。", "セッションの有効期限が切れました。", "エラー 500",
+)
+_NEXT = {
+    "en": (
+        "Try again later.", "Try again in 00 seconds.", "Wait 0 minutes and repeat.", "Reload the page.", "Go back to the start page.", "Sign in again to see this repository.", "Sign in with another account.", "Log in to go on.", "You must be signed in to view this page.",
+        "Ask an owner for access.", "Your address was host.example.", "An unexpected problem stopped this page.", "We could not show what you wanted.", "The team has been told.", "Reference: 0a0b0c0d", "(trace 0a0b0c0d)", "Contact the administrator.",
+    ),
+    "de": ("Bitte melden Sie sich neu an.", "Bitte versuchen Sie es später erneut.", "Die angeforderte Seite wurde nicht ausgeliefert.", "Kennung 0a0b0c0d"),
+    "fr": ("Réessayez plus tard.", "Reconnectez-vous pour continuer.", "La page demandée ne peut être affichée.", "Référence 0a0b0c0d"),
+    "es": ("Vuelva a intentarlo más tarde.", "Inicie sesión de nuevo.", "No se puede mostrar la página solicitada.", "Referencia 0a0b0c0d"),
+    "ja": ("もう一度ログインしてください。", "しばらくしてからもう一度お試しください。", "ご指定のページは表示できません。", "(0a0b0c0d)"),
+}
+DOWN = tuple(f"{a} {b}" for a, b in product(
+    ("We are down for planned work", "Scheduled maintenance is under way", "The service is resting", "The forge is read-only and partly offline", "This site is being upgraded", "The system is under maintenance"),
+    ("until the evening.", "and will be back shortly.", "; thank you for waiting.", "and will return soon."),
+))
+SCRIPTS = (
+    *(f"{a} {b} {c}" for a, b, c in product(
+        ("Please", "Kindly", "You need to", "To go on, please", "You must"), ("enable JavaScript", "allow scripts", "switch scripts on", "activate scripting", "turn on JavaScript"),
+        ("and reload this page.", "to run this app.", "to see the diff.", "for the full view.", "to continue."))),
+    *(f"{a} {b} {c}" for a, b, c in product(
+        ("This page", "This viewer", "The code browser", "The review tool", "This site"), ("needs scripts", "works only with JavaScript", "requires a browser with scripting"), ("to show anything.", "to be turned on.", "and cookies."))),
+    *(f"{a} is {b} {c}. {d}" for a, b, c, d in product(
+        ("JavaScript", "Scripting", "Client-side script"), ("turned off", "disabled", "blocked", "not available"), ("in your browser", "for this site", "here"), ("Switch it on and reload.", "Turn it on to view this commit.", "Nothing can be shown without it."))),
+    *(f"{a} {b}" for a, b in product(
+        ("Please wait while we check your browser...", "One moment, verifying that you are not a robot.", "Checking the connection before we go on.", "Checking your browser before accessing the site."),
+        ("Keep scripts allowed until it ends.", "Scripts and cookies are required.", "JavaScript must be on for this check."))),
+    *(f"{a} {b}{c}" for a, b, c in product(("Bitte", "Um fortzufahren, bitte"), ("JavaScript einschalten", "JavaScript aktivieren", "Skripte zulassen"), (", dann neu laden.", ", um diese Seite zu sehen."))),
+    *(f"{a} {b} {c}" for a, b, c in product(("Veuillez activer", "Il faut activer", "Autorisez"), ("JavaScript", "les scripts"), ("pour afficher ce commit.", "puis rechargez la page.", "dans votre navigateur."))),
+    *(f"{a} {b} {c}" for a, b, c in product(("Active", "Habilite", "Debe permitir"), ("JavaScript", "los scripts"), ("para ver esta página.", "y recargue.", "en su navegador."))),
+    *(f"{a} {b} {c}" for a, b, c in product(("差分の閲覧には", "このページを表示するには", "続けるには"), ("JavaScript を有効に", "スクリプトを許可"), ("してください。", "する必要があります。"))),
+)
+PAGES = ("<html>", "</html>", "<body>", "</body>", "<hr>nginx/1.0", "<hr>apache/2.4", "<p></p>", "<!DOCTYPE html>", "<head>", "</head>", "<center><h1>", "</h1></center>")
+
+VERBS = "Add Fix Remove Rename Rework Simplify Split Guard Document Speed up Update Move Replace Use Make Allow Drop Handle Test Cache Merge Bump Revert Improve Refactor Log Check Parse Return Store Skip Sort".replace("Speed up", "Speed_up").split()
+OBJECTS = (
+    "the {w} cache", "{w} parser", "tests of {w}", "error path in {w}", "{w} lookup in {v}", "rounding of {w} totals", "unused {w} flag", "{w} retries for {v}", "the {w} table", "a missing index on {w}", "logging of {w}", "the reader of {w} files", "dead code in {w}",
+    "the {w} module", "a race in {w}", "support for {w}", "the default of {w}", "types of {w}", "docs for {w}", "the build of {w}",
+)
+SENTENCES = (
+    "Measured on the {w} sample: about 0000 ms less per call.", "Closes #0000.", "The old code read {w} twice and kept the second value.", "This keeps {w} and {v} in step.", "No change for users of {w}.", "Return 404 from {w} when the {v} is unknown.",
+    "Callers of {w} saw stale rows after a restart.", "Reviewed together with the {w} owners.", "This commit was made by a robot.", "The new order makes the {w} easier to read.", "See the notes of {w} for the reasons.", "It was only used by {w}, which is gone.",
+    "Der alte Weg las {w} doppelt.", "Erledigt #000.", "Für Nutzer von {w} ändert sich nichts.", "Nach dem Neustart fehlten Zeilen in {w}.", "Behebe {w} in {v}", "Überarbeite Rundung der {w}-Summen", "Prüfe Fehlerpfad in {w}", "Ergänze Suche nach {w} in {v}", "Entferne den {w}-Puffer",
+    "El código viejo leía {w} dos veces.", "Sin cambios para {w}.", "Cierra #000.", "Añade las pruebas de {w}", "Corrige el redondeo de {w}", "Ordena la búsqueda de {w} en {v}", "Quita la caché de {w}",
+    "L'ancien code lisait {w} deux fois.", "Ferme #000.", "Rien ne change pour {w}.", "Mesuré : 0000 ms de moins.", "Ajoute l'arrondi des totaux {w}", "Corrige la recherche de {w} dans {v}", "Simplifie le cache {w}", "Supprime les essais de {w}",
+    "以前は {w} を二回読んでいた。", "#000 を閉じる。", "{w} の利用者には影響なし。", "修正: {w} キャッシュ", "追加: {w} のテスト", "整理: {w} 合計の丸め", "削除: {w} の {v} 検索",
+    "Merge main into {w}", "Merge branch '{w}' into main", "Merge commit '0a0b0c'", "Merge tag 'v0.0' into {w}", "Merge pull request #000 from {w}/{v}", "Merge remote-tracking branch 'origin/{w}'", "Conflicts:", "src/{w}.py", "Run the formatter", "fix indent", "Tidy white space", "Reformat",
+    "[skip ci] regenerate {w} lock file", "build #0000 passed", "Backup 0000", "Automatic snapshot 0000", "Update generated docs", "Sync translations from {w}", "release: v0.000.0", "chore(deps): update {w} to v000", "Bump {w} from 0.0 to 0.0.0", "core: {w}", "ui: {w}", "fix({w}): {v}", "feat({w}): {v}", "[{w}] {v}",
+    "## What does this change?", "## How was it tested?", "- [ ] docs", "- [ ] tests", "- [x] tests", "## Was wird geändert?", "## Wie wurde geprüft?", "## Quoi ?", "## Pourquoi ?", "## ¿Qué cambia?", "## ¿Cómo se probó?", "## 変更内容", "## 確認方法", "## Summary", "## Why",
+    "{W} {V} <{w}.{v}@corp.example>", "{W} {V}", "{w}.{v}", "{W}-bot <bot@ci.example>", "bot", "{w}@mail.example", "Signed-off-by: {W} {V} <{w}@dev.example>", "Reviewed-by: {W} {V} <{w}.{v}@corp.example>", "Co-authored-by: {W} {V} <{v}@mail.example>", "Ticket: 0000", "Refs #000",
+)
+#: Prose that speaks about residue.
+ABOUT = (
+    'Fix "This diff took too long to load" for big {w} files', "Replace %s with f-strings in {w}", "Replace placeholder text on the {w} page", 'Test that "Too many requests" is retried', "Map error 000 to None in {w}", "Return a real 404 Not Found page for unknown {w}",
+    "Warn when JavaScript is disabled on the {w} form", "Remove lorem ipsum from the {w} seed data", "Quote {{placeholders}} in error texts of {w}", "Rename [TICKET] check in the commit hook", "Reject commits that still carry <insert summary here>", 'Show "502 Bad Gateway" only after 0 tries',
+    "Document ${{HOME}} handling in {w}", "Test {w} with scripts blocked", 'Translate the session-ended notice ("Sign in again") for {w}', "Drop the Blindtext from {w} fixtures", "Answer 503 while {w} restarts", "Accept {{{{ {w} }}}} and ${{{v}}} alike in {w}", "<noscript> text: say why {w} needs scripts",
+    "Fill the foo bar defaults of {w}", 'Stop logging "Access denied" twice in {w}', 'Show "session has ended" in {w} only once', "Render the maintenance notice of {w} from a template", "Escape `{{{{ title }}}}` in the {w} mail", "Log the 500 page of {w} with its trace",
+    "Explain in {w} why cookies are required", "Let the {w} template check for unfilled placeholders", "Use a friendlier text on the 403 page of {w}", "Retry when {w} answers 429", 'Say "try again later" in {w} mails', "Catch the Not Found error of {w}", "Allow brackets in titles of {w}",
+    "Test the login page of {w} without JavaScript", "Expand ${{{w}}} in the {v} config", "Teach {w} the {{{{ {v} }}}} syntax", "Warn about TODO and tbd in {w}", "Cover the timeout of {w} in the error path", "Keep the sample text of {w} out of the index", "Strip <title> from the {w} page",
+)
+
+
+def _word(r: random.Random) -> str:
+    """An invented identifier of two to four syllables."""
+    onset = lambda: r.choice("bcdfghklmnprstvwyz") if r.random() < 0.8 else r.choice(("dr", "br", "th", "tr", "st", "kr", ""))
+    part = lambda: "".join(onset() + r.choice("aeiou") + r.choice(("", "", "", "l", "n", "r", "s", "m", "th")) for _ in range(r.randint(1, 2))) * r.choice((1, 1, 1, 1, 2)) + onset() + r.choice("aeio")
+    return part() + (r.choice("._") + part() if r.random() < 0.3 else "")
+
+
+def stand_ins(seed: int = 7) -> Iterator[str]:
+    r = random.Random(seed)
+    for syntax in SYNTAXES:
+        for field in FIELDS:
+            yield syntax.format(field)
+            yield syntax.format(field.upper())
+        for frame in FRAMES:
+            for up in (False, True):
+                a, b, c = (syntax.format(x.upper() if up else x) for x in r.sample(FIELDS, 3))
+                yield frame.format(a=a, b=b, c=c)
+    for _ in range(3):
+        yield from FORMS
+        yield from FILLER
+    for w in REPEATED:
+        for n in (1, 3, 6, 12, 20):
+            yield " ".join([w] * n)
+    for _ in range(60):
+        words = [r.choice(LATIN) for _ in range(r.randint(6, 25))]
+        yield " ".join(words).capitalize() + "."
+    for _ in range(120):  # keys struck at random
+        row = r.choice(("asdfghjkl", "asdfghjkl", "asdfghjkl", "qwertyuiop"))
+        yield " ".join("".join(r.choice(row) for _ in range(r.randint(3, 9))) for _ in range(r.randint(3, 9)))
+
+
+def notices(seed: int = 8) -> Iterator[str]:
+    r = random.Random(seed)
+    for (code, text), frame in product(STATUSES.items(), STATUS_FRAMES):
+        yield frame.format(c=code, s=text, x=text.replace(" ", ""))
+    said = [f"{'This' if r.random() < 0.3 else 'The'} {a} {b}." for a, b in product(_THINGS, _FATES)] + [f"Your request {b}." for b in _FATES]
+    for s in said * 2:
+        yield s
+    for cause in _CAUSES:
+        lang = "ja" if not cause.isascii() and any(ord(c) > 0x3000 for c in cause) else "de" if cause.split()[0] in ("Zugriff", "Seite", "Zu", "Dienst", "Die", "Fehler") else "fr" if cause.split()[0] in ("Accès", "Page", "Trop", "Service", "Votre", "Erreur") else "es" if cause.split()[0] in ("Acceso", "Página", "Demasiadas", "Servicio", "La") else "en"
+        for nxt in _NEXT[lang]:
+            yield f"{cause} {nxt}"
+            if r.random() < 0.3:
+                yield f"<h1>{cause} {nxt}</h1>"
+                yield f"<head><title>{cause} {nxt}</title></head>"
+            if r.random() < 0.2:
+                yield f"<p>{nxt}</p>"
+    for s in said:
+        if r.random() < 0.25:
+            yield f"<p>{s}</p>"
+        if r.random() < 0.25:
+            yield f"{s} {r.choice(_NEXT['en'])}"
+    for s in (*DOWN, *SCRIPTS):
+        yield s
+        if r.random() < 0.3:
+            yield f"<noscript>{s}</noscript>"
+        if r.random() < 0.1:
+            yield f"<h1>{s}</h1>"
+    yield from PAGES * 4
+
+
+def prose(seed: int = 9) -> Iterator[str]:
+    r = random.Random(seed)
+
+    def fill(s: str) -> str:
+        w, v = _word(r), _word(r)
+        return s.format(w=w, v=v, W=w.split(".")[0].split("_")[0].capitalize(), V=v.split(".")[0].split("_")[0].capitalize())
+
+    for verb in VERBS:
+        for o in OBJECTS:
+            for _ in range(2):
+                text = f"{verb.replace('_', ' ')} {fill(o)}"
+                yield text
+                yield f"{r.choice(('core', 'ui', 'fix(' + _word(r) + ')', '[' + _word(r) + ']'))}{r.choice((': ', ' '))}{text}"
+    for s in SENTENCES:
+        for _ in range(25):
+            yield fill(s)
+    for s in ABOUT:
+        for _ in range(30):
+            yield fill(s)
+    for _ in range(600):
+        yield " ".join(_word(r) for _ in range(r.randint(1, 4)))
