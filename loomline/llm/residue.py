@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from loomline.llm.residue_seeds import notices, prose, stand_ins
 
 #: n-gram orders, strength of the backing-off, bits of the table, window, least mean ratio, least coverage.
-ORDER, STRENGTH, BITS, WINDOW, RATIO, COVERAGE = 5, 1.0, 22, 20, 0.5, 0.5
+ORDER, STRENGTH, BITS, WINDOW, RATIO, COVERAGE = 5, 1.0, 22, 20, 0.6, 0.5
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 

@@ -99,7 +99,7 @@ OBJECTS = (
     "the {w} module", "a race in {w}", "support for {w}", "the default of {w}", "types of {w}", "docs for {w}", "the build of {w}",
 )
 SENTENCES = (
-    "Measured on the {w} sample: about 0000 ms less per call.", "Closes #0000.", "The old code read {w} twice and kept the second value.", "This keeps {w} and {v} in step.", "No change for users of {w}.", "Return 404 from {w} when the {v} is unknown.",
+    "Measured on the {w} sample: about 0000 ms less per call.", "Closes #0000.", "The old code read {w} twice and kept the second value.", "This keeps {w} and {v} in step.", "No change for users of {w}.", "This makes {w} and {v} agree.", "This moves {w} to {v}.", "This avoids a second read of {w}.", "This lets {w} run before {v}.", "This brings {w} and {v} in line.", "Return 404 from {w} when the {v} is unknown.",
     "Callers of {w} saw stale rows after a restart.", "Reviewed together with the {w} owners.", "This commit was made by a robot.", "The new order makes the {w} easier to read.", "See the notes of {w} for the reasons.", "It was only used by {w}, which is gone.",
     "Der alte Weg las {w} doppelt.", "Erledigt #000.", "Für Nutzer von {w} ändert sich nichts.", "Nach dem Neustart fehlten Zeilen in {w}.", "Behebe {w} in {v}", "Überarbeite Rundung der {w}-Summen", "Prüfe Fehlerpfad in {w}", "Ergänze Suche nach {w} in {v}", "Entferne den {w}-Puffer",
     "El código viejo leía {w} dos veces.", "Sin cambios para {w}.", "Cierra #000.", "Añade las pruebas de {w}", "Corrige el redondeo de {w}", "Ordena la búsqueda de {w} en {v}", "Quita la caché de {w}",
@@ -196,7 +196,7 @@ def prose(seed: int = 9) -> Iterator[str]:
                 yield text
                 yield f"{r.choice(('core', 'ui', 'fix(' + _word(r) + ')', '[' + _word(r) + ']'))}{r.choice((': ', ' '))}{text}"
     for s in SENTENCES:
-        for _ in range(25):
+        for _ in range(40):
             yield fill(s)
     for s in ABOUT:
         for _ in range(30):
