@@ -22,6 +22,12 @@ _ROW = ["k", "t", "received", "id"]
 DAY = 86_400_000_000
 
 
+def _first(rows: DataFrame) -> DataFrame:
+    """Of each message the copy received first, of equal ones that with the smallest id; a null time comes last."""
+    first = F.min(F.struct(F.col("received").isNull().alias("n"), "received", "id")).alias("f")
+    return rows.groupBy("k", "t").agg(first).select("k", "t", "f.received", "f.id")
+
+
 class SeenMessages:
     """Store of seen messages in a folder that all executors share."""
 
@@ -53,11 +59,11 @@ class SeenMessages:
                 days = [r.day for r in late.select(F.floor(F.col("t") / DAY).alias("day")).distinct().collect()]
                 if days:
                     past = self._read("archive", at["batches"]).where(F.col("day").isin(days))
-                    known = known.unionByName(past.join(late.select("k", "t").distinct(), ["k", "t"], "left_semi").select(*_ROW))
+                    past = past.join(late.select("k", "t").distinct(), ["k", "t"], "left_semi")
+                    known = known.unionByName(_first(past))  # the copy that stays so far, not those it replaced
         newest = rows.agg(F.max("t")).first()[0]
         mark = max((x for x in (at["watermark"], None if newest is None else newest - self.delay) if x is not None), default=None)
-        first = F.min(F.struct(F.col("received").isNull().alias("n"), "received", "id")).alias("f")
-        kept = known.groupBy("k", "t").agg(first).select("k", "t", "f.received", "f.id")
+        kept = _first(known)
         kept.write.mode("overwrite").parquet(path.format("kept"))
         kept = spark.read.schema(kept.schema).parquet(path.format("kept"))
         known.select("id").join(kept.select("id"), "id", "left_anti").distinct().write.mode("overwrite").parquet(path.format("dropped"))
