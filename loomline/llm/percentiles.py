@@ -33,18 +33,15 @@ def percentiles(counts: DataFrame, group: str, value: str, percents: Sequence[in
 
     An empty table gives an empty result.
     """
-    spread = counts.select(group, value, "n").repartitionByRange(group, value)
-    sorted_ = written(spread.select("*", F.spark_partition_id().alias("part")), "sorted-counts")
-    per_part = sorted_.groupBy(group, "part").agg(F.sum("n").alias("in_part"))
-    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(group)
-    offsets = per_part.select(F.col(group).alias("og"), F.col("part").alias("op"), F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("offset"), F.sum("in_part").over(whole).alias("total"))
-    inside = Window.partitionBy(group, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = sorted_.select(group, "part", value, "n", F.sum("n").over(inside).alias("upto"))
-    placed = running.join(offsets, (F.col(group) == F.col("og")) & (F.col("part") == F.col("op"))).select(
-        group, value, "total", (F.col("offset") + F.col("upto")).alias("hi")
-    )
-    rank = lambda p: F.floor((F.col("total") * p + 99) / 100)
-    return placed.groupBy(group).agg(
-        F.max("total").alias("n"), *[F.min(F.when(F.col("hi") >= rank(p), F.col(value))).alias(f"p{p}") for p in percents]
-    )
+    spread = counts.select(F.col(group).alias("__g"), F.col(value).alias("__v"), F.col("n").alias("__n")).repartitionByRange("__g", "__v")
+    placed = written(spread.select("*", F.spark_partition_id().alias("__part")), "sorted-counts")
+    per_part = placed.groupBy("__g", "__part").agg(F.sum("__n").alias("__held"))
+    before = Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("__g")
+    offsets = per_part.select("__g", "__part", F.coalesce(F.sum("__held").over(before), F.lit(0)).alias("__offset"), F.sum("__held").over(whole).alias("__total"))
+    inside = Window.partitionBy("__g", "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = placed.select("__g", "__part", "__v", F.sum("__n").over(inside).alias("__upto"))
+    reach = running.join(offsets, ["__g", "__part"]).select("__g", "__v", "__total", (F.col("__offset") + F.col("__upto")).alias("__reach"))
+    rank = lambda p: F.floor((F.col("__total") * p + 99) / 100)
+    found = reach.groupBy("__g").agg(F.max("__total").alias("n"), *[F.min(F.when(F.col("__reach") >= rank(p), F.col("__v"))).alias(f"p{p}") for p in percents])
+    return found.withColumnRenamed("__g", group)

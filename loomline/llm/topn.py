@@ -17,32 +17,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def thresholds(rows: DataFrame, group: str, score: str, item: list[str], n: int, bins: int, hot_share: int) -> DataFrame:
-    """(group, floor): for each hot group a score with at least n different items at or above it."""
-    low, high, total = rows.agg(F.min(score), F.max(score), F.count(F.lit(1))).first()
-    hot = rows.groupBy(group).count().where(F.col("count") > max(n, (total or 0) // hot_share)).select(F.col(group).alias("hot"))
+def thresholds(rows: DataFrame, item: list[str], n: int, bins: int, hot_share: int) -> DataFrame:
+    """(__hot, __floor): for each hot group a score with at least n different items at or above it.
+
+    rows: __g, __s and the columns of item.
+    """
+    low, high, total = rows.agg(F.min("__s"), F.max("__s"), F.count(F.lit(1))).first()
+    hot = rows.groupBy("__g").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(n, (total or 0) // hot_share)).select(F.col("__g").alias("__hot"))
     width = max(1, -(-(high - low + 1) // bins)) if total else 1
-    cell = F.expr(f"cast((`{score}` - {low or 0}L) div {width}L as int)")
+    cell = F.expr(f"cast((__s - {low or 0}L) div {width}L as int)")
     mask = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(f'`{c}`' for c in item)}), 64) as int))")
     cells = (
-        rows.join(F.broadcast(hot), F.col(group) == F.col("hot"))  # fewer than hot_share rows
-        .groupBy(F.col(group).alias("g"), cell.alias("cell"))
-        .agg(F.bit_count(F.bit_or(mask)).alias("least"))
+        rows.join(F.broadcast(hot), F.col("__g") == F.col("__hot"))  # fewer than hot_share rows
+        .groupBy("__hot", cell.alias("__cell"))
+        .agg(F.bit_count(F.bit_or(mask)).alias("__least"))
     )
-    down = Window.partitionBy("g").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = cells.select("g", "cell", F.sum("least").over(down).alias("so_far")).where(F.col("so_far") >= n)
-    return reached.groupBy("g").agg((F.max("cell").cast("long") * F.lit(width) + F.lit(low or 0)).alias("floor"))
+    down = Window.partitionBy("__hot").orderBy(F.desc("__cell")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = cells.select("__hot", "__cell", F.sum("__least").over(down).alias("__so_far")).where(F.col("__so_far") >= n)
+    return reached.groupBy("__hot").agg((F.max("__cell").cast("long") * F.lit(width) + F.lit(low or 0)).alias("__floor"))
 
 
 def top_n(rows: DataFrame, group: str, score: str, item: list[str], n: int, bins: int = 1024, hot_share: int = 10_000) -> DataFrame:
-    """The n items of each group with the highest score, ties by ascending item; column `rank` counts from 1.
+    """(group, score, item, rank): the n items of each group with the highest score, ties by ascending item; rank
+    counts from 1.
 
     score: an integer column. Rows with a null group, score or item are no candidates. Repeated rows count once.
     Other columns of rows are dropped, whatever their names. An empty table gives an empty result.
     """
-    rows = rows.select(group, score, *item).where(" and ".join(f"`{c}` is not null" for c in (group, score, *item)))
-    floors = thresholds(rows, group, score, item, n, bins, hot_share)
-    above = rows.join(F.broadcast(floors), F.col(group) == F.col("g"), "left").where(F.col("floor").isNull() | (F.col(score) >= F.col("floor")))
-    order = Window.partitionBy(group).orderBy(F.desc(score), *[F.asc(c) for c in item])
-    ranked = above.select(group, score, *item, F.dense_rank().over(order).alias("rank")).where(F.col("rank") <= n)
-    return ranked.dropDuplicates([group, *item, "rank"])
+    rows = rows.select(F.col(group).alias("__g"), F.col(score).alias("__s"), *item).where(" and ".join(f"`{c}` is not null" for c in ("__g", "__s", *item)))
+    floors = thresholds(rows, item, n, bins, hot_share)
+    above = rows.join(F.broadcast(floors), F.col("__g") == F.col("__hot"), "left").where(F.col("__floor").isNull() | (F.col("__s") >= F.col("__floor")))
+    order = Window.partitionBy("__g").orderBy(F.desc("__s"), *[F.asc(c) for c in item])
+    ranked = above.select("__g", "__s", *item, F.dense_rank().over(order).alias("__rank")).where(F.col("__rank") <= n)
+    return ranked.dropDuplicates(["__g", *item, "__rank"]).select(F.col("__g").alias(group), F.col("__s").alias(score), *item, F.col("__rank").alias("rank"))
