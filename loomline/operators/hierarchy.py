@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from loomline.session import written
 
 TREE, ON_LOOP, BELOW_LOOP = 0, 1, 2
+BASE_ROWS, PART_ROWS = 20_000, 200_000
 
 _LINKS = "node string, parent string, w long, loop boolean"
 _RESULT = "node string, root string, dist long, kind int"
@@ -147,7 +148,7 @@ def _base(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"node": node, "root": root, "dist": dist, "kind": kind})
 
 
-def _solve(t: DataFrame, level: int, base_rows: int) -> DataFrame:
+def _solve(t: DataFrame, level: int, base_rows: int, part_rows: int) -> DataFrame:
     """t: (node, parent, w, loop), written; returns (node, root, dist, kind)."""
     rows = t.count()
     if rows <= base_rows:
@@ -162,7 +163,7 @@ def _solve(t: DataFrame, level: int, base_rows: int) -> DataFrame:
     turn = lambda c: F.xxhash64(F.col(c), F.lit(level))
     place = F.when(turn("only") > turn("node"), F.col("only")).otherwise(F.col("node"))
     frag = written(
-        inner.withColumn("place", place).repartition(max(2, -(-rows // base_rows)), "place").drop("place", "inner", "only").mapInPandas(_contract, _FRAGMENT),
+        inner.withColumn("place", place).repartition(max(2, -(-rows // part_rows)), "place").drop("place", "inner", "only").mapInPandas(_contract, _FRAGMENT),
         "fragments",
     )
     tops = frag.where("node = top").select(F.col("node").alias("n"), F.col("exit").alias("x"), F.col("exit_w").alias("xw"), F.col("loop").alias("lp"))
@@ -173,7 +174,7 @@ def _solve(t: DataFrame, level: int, base_rows: int) -> DataFrame:
         ),
         "quotient",
     )
-    above = written(_solve(quotient.select("node", "parent", "w", "loop"), level + 1, base_rows), "solved")
+    above = written(_solve(quotient.select("node", "parent", "w", "loop"), level + 1, base_rows, part_rows), "solved")
     # expand: nodes between the entry of a loop into a fragment and the fragment's exit lie on that loop
     ring = above.where(F.col("kind") == ON_LOOP).select("node")
     on_ring = quotient.where("parent is not null").join(ring, "node", "left_semi").select(F.explode("entry").alias("m")).distinct()
@@ -195,7 +196,7 @@ def _solve(t: DataFrame, level: int, base_rows: int) -> DataFrame:
     return body.unionByName(fall).unionByName(alone.select("node", "root", "dist", F.col("kind").cast("int").alias("kind"))).to(schema)
 
 
-def hierarchy(edges: DataFrame, parent: str, child: str, base_rows: int = 100_000) -> DataFrame:
+def hierarchy(edges: DataFrame, parent: str, child: str, base_rows: int = BASE_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """(node, root, depth, kind) of each name in edges.
 
     Trees: depth from the root (0 for the root itself), kind "tree". Nodes on a loop: depth -1, kind "loop";
@@ -203,10 +204,10 @@ def hierarchy(edges: DataFrame, parent: str, child: str, base_rows: int = 100_00
     An empty table gives an empty result; null names are skipped; repeated rows count once; other columns of
     edges are ignored, whatever their names.
 
-    base_rows bounds what one task solves alone (rows of the smallest quotient, and of a partition).
+    base_rows bounds the quotient that one task solves alone, part_rows the expected rows of a partition.
     """
     start = written(links(edges, parent, child).select("node", "parent", F.lit(1).cast("long").alias("w"), F.lit(False).alias("loop")), "links")
-    found = written(_solve(start, 0, base_rows), "hierarchy")
+    found = written(_solve(start, 0, base_rows, part_rows), "hierarchy")
     loop_root = found.where(F.col("kind") == ON_LOOP).groupBy(F.col("root").alias("r")).agg(F.min("node").alias("loop_root"))
     tree = found.where(F.col("kind") == TREE).select("node", "root", F.col("dist").cast("int").alias("depth"), F.lit("tree").alias("kind"))
     looped = (
@@ -220,14 +221,14 @@ def hierarchy(edges: DataFrame, parent: str, child: str, base_rows: int = 100_00
     return tree.unionByName(looped)
 
 
-def ancestors(edges: DataFrame, parent: str, child: str, base_rows: int = 100_000) -> DataFrame:
+def ancestors(edges: DataFrame, parent: str, child: str, base_rows: int = BASE_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """(node, ancestor, distance) of each node and each of its ancestors: read by ancestor, all descendants.
 
     On a loop the links between nodes of the loop are cut, so that a node below a loop has its ancestors up to
     and with the first node on the loop. The output has as many rows as the sum of all depths; pairs double
     their reach in each round, so a depth of D takes log2(D) joins.
     """
-    kinds = hierarchy(edges, parent, child, base_rows)
+    kinds = hierarchy(edges, parent, child, base_rows, part_rows)
     step = links(edges, parent, child).where("parent is not null")
     looped = kinds.where("kind = 'loop'").select("node")
     pairs = written(step.join(looped, "node", "left_anti").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")), "pairs")
@@ -246,9 +247,9 @@ def ancestors(edges: DataFrame, parent: str, child: str, base_rows: int = 100_00
         reach *= 2
 
 
-def paths(edges: DataFrame, parent: str, child: str, base_rows: int = 100_000) -> DataFrame:
+def paths(edges: DataFrame, parent: str, child: str, base_rows: int = BASE_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """(node, path) with path the names from the root to the node; for nodes below a loop, from the loop."""
-    up = ancestors(edges, parent, child, base_rows)
+    up = ancestors(edges, parent, child, base_rows, part_rows)
     nodes = links(edges, parent, child).select("node")
     every = up.unionByName(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")))
     far_first = F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False)

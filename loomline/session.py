@@ -47,3 +47,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as tasks can run at once, for work that is heavy per row.
+
+    Only an input of fewer partitions, which is small, is shuffled; a large one is read as it is split.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if have >= want else df.repartition(want)
