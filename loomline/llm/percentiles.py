@@ -42,6 +42,6 @@ def percentiles(counts: DataFrame, group: str, value: str, percents: Sequence[in
     inside = Window.partitionBy("__g", "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = placed.select("__g", "__part", "__v", F.sum("__n").over(inside).alias("__upto"))
     reach = running.join(offsets, ["__g", "__part"]).select("__g", "__v", "__total", (F.col("__offset") + F.col("__upto")).alias("__reach"))
-    rank = lambda p: F.floor((F.col("__total") * p + 99) / 100)
+    rank = lambda p: F.expr(f"(__total * {int(p)} + 99) div 100")
     found = reach.groupBy("__g").agg(F.max("__total").alias("n"), *[F.min(F.when(F.col("__reach") >= rank(p), F.col("__v"))).alias(f"p{p}") for p in percents])
     return found.withColumnRenamed("__g", group)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.residue_seeds import notices, prose, stand_ins
+from loomline.session import spread
 
 #: n-gram orders, strength of the backing-off, bits of the table, window, least mean ratio, least coverage.
 ORDER, STRENGTH, BITS, WINDOW, RATIO, COVERAGE = 5, 1.0, 22, 20, 0.6, 0.5
@@ -268,4 +269,4 @@ def find_residue(docs: DataFrame, key: str, text: str, least: float = COVERAGE)
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).alias("__text")).mapInArrow(run, f"`{key}` {kind}, part string, kind string, coverage double, excerpt string")
+    return spread(docs.select(key, F.col(text).alias("__text"))).mapInArrow(run, f"`{key}` {kind}, part string, kind string, coverage double, excerpt string")

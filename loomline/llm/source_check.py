@@ -16,6 +16,7 @@ from loomline.llm.syntax.core import Fault
 from loomline.llm.syntax.json_lang import parse_json
 from loomline.llm.syntax.python_lang import parse_python
 from loomline.llm.syntax.sql_lang import parse_sql
+from loomline.session import spread
 
 PARSERS: dict[str, Callable[[str], list[Fault]]] = {"sql": parse_sql, "py": parse_python, "json": parse_json}
 _FAULT = "array<struct<line:int,message:string>>"
@@ -54,7 +55,7 @@ def language_of(path: Column) -> Column:
     return F.when(e.isin(*PARSERS), e)
 
 
-def check_files(files: DataFrame, path: str, body: str, parts: int | None = None) -> DataFrame:
+def check_files(files: DataFrame, path: str, body: str) -> DataFrame:
     """(path, repository, language, faults array<struct<line,message>>) of each file, one row for each.
 
     faults is in order of place and empty for a file that parses. Files without a body (null) or of an unknown
@@ -71,9 +72,7 @@ def check_files(files: DataFrame, path: str, body: str, parts: int | None = None
             found = [[{"line": f.line, "message": f.message} for f in faults_of(lang, text)] for lang, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, kind)], ["path", "repository", "language", "faults"])
 
-    if parts:
-        rows = rows.repartition(parts)
-    return rows.mapInArrow(run, f"path string, repository string, language string, faults {_FAULT}")
+    return spread(rows).mapInArrow(run, f"path string, repository string, language string, faults {_FAULT}")
 
 
 def rates(checked: DataFrame) -> DataFrame:

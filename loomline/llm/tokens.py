@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.lexicon import Lexicon, compile_lexicon
-from loomline.session import scratch_path
+from loomline.session import scratch_path, spread
 
 #: Most words of a lexicon, and how often a word must occur to be in it.
 MAX_WORDS, MIN_COUNT = 50_000, 8
@@ -119,7 +119,7 @@ def count_words(docs: DataFrame, text: str, vocabulary: str) -> DataFrame:
                 yield from out()
         yield from out()
 
-    return docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(docs.select(text)).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, text: str, vocabulary: str, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> str:
@@ -160,4 +160,4 @@ def encode(docs: DataFrame, text: str, keep: list[str], vocabulary: str | None =
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], last], [*kept, "n_tokens" if lengths_only else "ids"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{schema}, {'n_tokens long' if lengths_only else 'ids array<int>'}")
+    return spread(docs.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, f"{schema}, {'n_tokens long' if lengths_only else 'ids array<int>'}")
