@@ -1,7 +1,8 @@
 """State of the engine: small keyed tables on the driver, kept in a folder, offered as DataFrames.
 
 Runs of tasks and their lineage are metadata: their size goes with the number of tasks, not of rows. A lock orders
-all changes; a change writes the whole table beside the old one and renames it, so a reader never sees a part.
+all changes. New and replaced rows are appended to the table's file, of which the last line of a key counts and a
+broken last line doesn't; a deletion writes the whole table beside the old one and renames it.
 """
 
 from __future__ import annotations
@@ -37,13 +38,17 @@ class StateStore:
         self.folder = Path(folder) if folder else None
         self.lock = threading.RLock()
         self._rows: dict[str, dict[tuple, dict]] = {t: {} for t in SCHEMAS}
+        self._cut = dict.fromkeys(SCHEMAS, True)  # the first line that is added may follow a broken one
         if self.folder:
             self.folder.mkdir(parents=True, exist_ok=True)
             for t in SCHEMAS:
                 path = self.folder / f"{t}.jsonl"
                 if path.exists():
-                    for line in path.read_text(encoding="utf-8").splitlines():
-                        row = json.loads(line)
+                    for line in path.read_text(encoding="utf-8").split("\n"):
+                        try:
+                            row = json.loads(line)
+                        except ValueError:  # the end of the file, or of a write that was cut off
+                            continue
                         for c in _TIMES[t]:
                             row[c] = datetime.fromisoformat(row[c]) if row[c] else None
                         self._rows[t][self._key(t, row)] = row
@@ -52,13 +57,21 @@ class StateStore:
     def _key(table: str, row: dict) -> tuple:
         return tuple(row[k] for k in KEYS[table])
 
-    def _save(self, table: str) -> None:
-        if not self.folder:
-            return
-        path = self.folder / f"{table}.jsonl"
-        tmp = path.with_suffix(".next")
-        tmp.write_text("".join(json.dumps(r, default=lambda d: d.isoformat(), ensure_ascii=False) + "\n" for r in self._rows[table].values()), encoding="utf-8")
-        os.replace(tmp, path)
+    @staticmethod
+    def _lines(rows: Iterable[dict]) -> str:
+        return "".join(json.dumps(r, default=lambda d: d.isoformat(), ensure_ascii=False) + "\n" for r in rows)
+
+    def _append(self, table: str, rows: list[dict]) -> None:
+        if self.folder and rows:
+            with (self.folder / f"{table}.jsonl").open("a", encoding="utf-8") as f:
+                f.write("\n" * (f.tell() > 0 and self._cut.pop(table, False)) + self._lines(rows))
+
+    def _rewrite(self, table: str) -> None:
+        if self.folder:
+            path = self.folder / f"{table}.jsonl"
+            tmp = path.with_suffix(".next")
+            tmp.write_text(self._lines(self._rows[table].values()), encoding="utf-8")
+            os.replace(tmp, path)
 
     def rows(self, table: str, where: Callable[[dict], bool] | None = None) -> list[dict]:
         with self.lock:
@@ -67,25 +80,28 @@ class StateStore:
     def upsert(self, table: str, rows: Iterable[dict]) -> None:
         """Insert, or replace rows with the same key."""
         with self.lock:
-            for r in rows:
-                full = {c: r.get(c) for c in COLUMNS[table]}
-                self._rows[table][self._key(table, full)] = full
-            self._save(table)
+            full = [{c: r.get(c) for c in COLUMNS[table]} for r in rows]
+            for r in full:
+                self._rows[table][self._key(table, r)] = r
+            self._append(table, full)
 
     def insert_new(self, table: str, rows: Iterable[dict]) -> None:
         """Insert rows whose key isn't there."""
         with self.lock:
+            fresh = []
             for r in rows:
                 full = {c: r.get(c) for c in COLUMNS[table]}
-                self._rows[table].setdefault(self._key(table, full), full)
-            self._save(table)
+                if self._rows[table].setdefault(self._key(table, full), full) is full:
+                    fresh.append(full)
+            self._append(table, fresh)
 
     def delete(self, table: str, where: Callable[[dict], bool]) -> int:
         with self.lock:
             gone = [k for k, r in self._rows[table].items() if where(r)]
             for k in gone:
                 del self._rows[table][k]
-            self._save(table)
+            if gone:
+                self._rewrite(table)
             return len(gone)
 
     def frame(self, spark: SparkSession, table: str) -> DataFrame:

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomline.session import written
 
@@ -192,8 +191,7 @@ def _solve(t: DataFrame, level: int, base_rows: int, part_rows: int) -> DataFram
     fall = leaves.join(hang, "parent").select(
         "node", "root", (F.col("dist") + F.col("w")).cast("long").alias("dist"), F.when(F.col("pk") == TREE, TREE).otherwise(BELOW_LOOP).cast("int").alias("kind")
     )
-    schema = T._parse_datatype_string(_RESULT)
-    return body.unionByName(fall).unionByName(alone.select("node", "root", "dist", F.col("kind").cast("int").alias("kind"))).to(schema)
+    return body.unionByName(fall).unionByName(alone.select("node", "root", "dist", F.col("kind").cast("int").alias("kind")))
 
 
 def hierarchy(edges: DataFrame, parent: str, child: str, base_rows: int = BASE_ROWS, part_rows: int = PART_ROWS) -> DataFrame:

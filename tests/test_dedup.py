@@ -31,7 +31,7 @@ def brute(rows):
     return kept, {x[2] for v in best.values() for x in v} - kept
 
 
-@pytest.mark.parametrize(("seed", "batches", "delay"), [(1, 1, 7 * DAY), (2, 4, 2 * DAY), (3, 6, 0), (4, 3, 100 * DAY)])
+@pytest.mark.parametrize(("seed", "batches", "delay"), [(1, 1, 7 * DAY), (2, 4, 2 * DAY), (3, 3, 0)])
 def test_batches(spark, tmp_path, seed, batches, delay):
     """Whatever the order of arrival, however late: one copy of each stays, the one received first."""
     rows = _rows(seed, 240)

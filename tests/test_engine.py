@@ -340,3 +340,32 @@ def test_functions(spark):
     r = spark.createDataFrame([(tasks,)], "t string").selectExpr("orch_hello('w') h", "orch_downstream_of(t, 'a') d", "orch_topo_layers(t) l", "orch_build_dag('x') e", "orch_render_mermaid(orch_build_dag(t), 1, 'bad') m", "orch_parse_task('SELECT 1', 'q/z.sql') p", "orch_hello(null) n").first()
     assert r.h == "hello w from loomline" and r.d == '["b"]' and r.l == '[["a"], ["b"]]' and "error" in r.e and "a_task --> b_task" in r.m and json.loads(r.p)["name"] == "z" and r.n is None
     assert json.loads(scalars.extract_column_lineage_json(spark, "SELECT a FROM t"))[0]["columns"][0]["output_field"] == "a"
+
+
+def test_commands(spark, db, tmp_path):
+    (tmp_path / "a.sql").write_text(f'-- @test "SELECT 1" expect 1\nCREATE OR REPLACE TABLE {db}.a AS SELECT 1 AS x')
+    e, _ = _engine(spark)
+    e.sql("SET orch_max_parallel = 0")
+    e.sql("SET orch_namespace = 'ns'; ")
+    e.sql("SET orch_capture_interactive = true")
+    assert (e.config.max_parallel, e.config.namespace, e.config.capture_interactive) == (1, "ns", True)
+    assert e.sql(f"PRAGMA orch_register('{tmp_path}')").count() == 0
+    assert e.sql("PRAGMA orch_run;").first().status == "success" and e.sql("pragma orch_test").first().passed
+    assert e.sql("PRAGMA orch_visualize('dag')").first().mermaid.startswith("graph LR")
+    with pytest.raises(ValueError, match="unknown"):
+        e.sql("SET orch_other = 1")
+
+
+def test_state_file(tmp_path):
+    s = StateStore(str(tmp_path))
+    s.upsert("task_edges", [{"upstream": "a", "downstream": "b"}, {"upstream": "b", "downstream": "c"}])
+    s.upsert("schedules", [{"pipeline_or_task": "x", "cron_expr": "a", "next_trigger_at": datetime(2024, 1, 1)}])
+    s.upsert("schedules", [{"pipeline_or_task": "x", "cron_expr": "b"}])
+    with (tmp_path / "task_edges.jsonl").open("a") as f:
+        f.write('{"upstream": "cut o')
+    s = StateStore(str(tmp_path))
+    s.insert_new("task_edges", [{"upstream": "c", "downstream": "d"}, {"upstream": "a", "downstream": "b"}])
+    s.delete("schedules", lambda r: False)
+    s = StateStore(str(tmp_path))
+    assert len(s.rows("task_edges")) == 3 and [r["cron_expr"] for r in s.rows("schedules")] == ["b"]
+    assert s.delete("task_edges", lambda r: r["upstream"] == "a") == 1 and len(StateStore(str(tmp_path)).rows("task_edges")) == 2

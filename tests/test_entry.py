@@ -8,7 +8,7 @@ ROOT = Path(__file__).parent.parent
 def test_queries_have_names_of_their_sql():
     import __spark_entry__ as e
 
-    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100
+    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 80
 
 
 def test_core_imports_without_llm():
