@@ -48,3 +48,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 def is_folder(spark: SparkSession, path: str) -> bool:
     p, fs = _fs(spark, path)
     return fs.getFileStatus(p).isDirectory()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or a folder with all in it; nothing happens if it isn't there."""
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)

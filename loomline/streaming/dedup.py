@@ -16,7 +16,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.sources.files import is_folder, read_text, swap_text
+from loomline.sources.files import is_folder, read_text, remove, swap_text
 
 _ROW = ["k", "t", "received", "id"]
 DAY = 86_400_000_000
@@ -71,6 +71,10 @@ class SeenMessages:
         kept.where(~old).write.mode("overwrite").parquet(path.format("hot"))
         kept.where(old).withColumn("day", F.floor(F.col("t") / DAY)).write.mode("overwrite").parquet(path.format("archive"))
         swap_text(spark, f"{self.path}/pointer.json", json.dumps({"batch": batch, "watermark": mark, "batches": [*at["batches"], batch]}))
+        # what no reader of this version or the one before it needs
+        remove(spark, path.format("kept"))
+        for old_batch in at["batches"][-2:-1]:
+            remove(spark, f"{self.path}/hot/b{old_batch}")
 
     def dropped(self) -> DataFrame:
         """(id) of every delivery that a better copy of its message has replaced."""
