@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm.batches import slices
 from loomline.llm.residue_seeds import notices, prose, stand_ins
 from loomline.session import spread
 
@@ -251,7 +252,7 @@ def find_residue(docs: DataFrame, key: str, text: str, least: float = COVERAGE)
         if not _fitted:
             _fitted.append(Models(*tables.value))
         models = _fitted[0]
-        for b in batches:
+        for b in slices(batches, 1):
             rows = [units(t) for t in b.column(1).to_pylist()]
             flat = [u for us in rows for u in us]
             share = coverage(models, [u.text for u in flat])

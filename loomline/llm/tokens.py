@@ -20,6 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm.batches import slices
 from loomline.llm.lexicon import Lexicon, compile_lexicon
 from loomline.session import scratch_path, spread
 
@@ -78,8 +79,6 @@ class Encoder:
         self.merger, self.lexicon, self.known = Merger.of(vocabulary), Lexicon(lexicon), {}
 
     def learn(self, new: set[str]) -> None:
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known.clear()
         words = list(new)
         raw = [w.encode() for w in words]
         for w, b, i in zip(words, raw, self.lexicon.find(raw).tolist()):
@@ -154,7 +153,7 @@ def encode(docs: DataFrame, text: str, keep: list[str], vocabulary: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary, SparkFiles.get(lexicon))
-        for batch in batches:
+        for batch in slices(batches, len(kept)):
             flat, ends = encoder.encode(batch.column(len(kept)).to_pylist())
             last = pa.array(np.diff(ends).astype(np.int64)) if lengths_only else pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], last], [*kept, "n_tokens" if lengths_only else "ids"])

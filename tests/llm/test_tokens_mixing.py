@@ -3,6 +3,7 @@ import random
 import pytest
 
 from loomline.llm import mixing
+from loomline.llm.batches import slices
 from loomline.llm.lexicon import Lexicon, compile_lexicon
 from loomline.llm.tokens import Merger, default_vocabulary, encode
 
@@ -49,6 +50,15 @@ def test_encode_against_the_tokenizer(spark):
     assert encode(df.limit(0), "text", ["id"]).count() == 0
 
 
+def test_slices():
+    import pyarrow as pa
+
+    texts = ["é" * 3, None, "", "x" * 50, "a", "b" * 9, "c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["i", "t"])
+    got = [b.column(1).to_pylist() for b in slices(iter([batch, batch.slice(0, 0)]), 1, 10)]
+    assert got == [["é" * 3, None, ""], ["x" * 50], ["a", "b" * 9], ["c"]]
+
+
 def test_merger_keeps_bytes():
     m = Merger.of(default_vocabulary())
     by_id = {i: b for b, i in m.ranks.items()}
