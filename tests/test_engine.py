@@ -116,6 +116,23 @@ def test_column_lineage(spark):
     assert extract_column_lineage(spark, "UPDATE t SET a = 1") == [] and extract_column_lineage(spark, "SELECT (") == []
 
 
+def test_sample_pipeline_lineage(spark):
+    """The sample pipeline: GROUP BY 1, 2 counts as grouping by the columns it names."""
+    s = {"raw.users": ["id", "name", "country", "created_at", "deleted_at"], "raw.orders": ["id", "user_id", "amount", "ordered_at"], "a.clean_users": ["id", "name", "country", "created_at"], "a.clean_orders": ["id", "user_id", "amount", "ordered_at"]}
+    one = lambda sql: extract_column_lineage(spark, sql, s)[0]
+    x = one("CREATE OR REPLACE TABLE a.clean_users AS SELECT id, name, country, created_at FROM raw.users WHERE deleted_at IS NULL")
+    for c in ("id", "name", "country", "created_at"):
+        assert _roles(x, c) == {("raw.users", c): {"IDENTITY"}, ("raw.users", "deleted_at"): {"FILTER"}}
+    x = one("CREATE OR REPLACE TABLE a.clean_orders AS SELECT id, user_id, amount, ordered_at FROM raw.orders WHERE amount > 0")
+    assert _roles(x, "amount") == {("raw.orders", "amount"): {"IDENTITY"}} and _roles(x, "id")[("raw.orders", "amount")] == {"FILTER"}
+    x = one("CREATE OR REPLACE TABLE a.user_stats AS SELECT country, COUNT(*) AS users FROM a.clean_users GROUP BY country")
+    assert _roles(x, "country") == {("a.clean_users", "country"): {"IDENTITY"}} and _roles(x, "users") == {("a.clean_users", "country"): {"GROUP_BY"}}
+    x = one("CREATE OR REPLACE TABLE a.revenue_daily AS SELECT DATE_TRUNC('day', o.ordered_at) AS day, u.country, SUM(o.amount) AS revenue FROM a.clean_orders o JOIN a.clean_users u ON u.id = o.user_id GROUP BY 1, 2")
+    keys = {("a.clean_users", "id"): {"JOIN_KEY"}, ("a.clean_orders", "user_id"): {"JOIN_KEY"}}
+    assert _roles(x, "day") == {("a.clean_orders", "ordered_at"): {"TRANSFORMATION"}, ("a.clean_users", "country"): {"GROUP_BY"}} | keys
+    assert _roles(x, "revenue")[("a.clean_orders", "amount")] == {"AGGREGATION"} and keys.items() <= _roles(x, "revenue").items()
+
+
 # graph
 
 

@@ -18,3 +18,17 @@ def test_core_imports_without_llm():
     for f in (ROOT / "loomline").rglob("*.py"):
         if "llm" not in f.relative_to(ROOT / "loomline").parts:
             assert "loomline.llm" not in f.read_text(encoding="utf-8"), f
+
+
+def test_shared_folder():
+    """The one the session names; without one, one is set once."""
+    from types import SimpleNamespace
+
+    from loomline.session import shared_dir
+
+    named = {}
+    context = SimpleNamespace(getCheckpointDir=lambda: named.get("dir"), setCheckpointDir=lambda d: named.update(dir=f"file:{d}/id"))
+    get = lambda conf: SimpleNamespace(conf=SimpleNamespace(get=lambda k, default=None: conf.get(k, default)), sparkContext=context)
+    assert shared_dir(get({"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y" and not named
+    first = shared_dir(get({}))
+    assert first.startswith("file:") and shared_dir(get({})) == first
