@@ -747,9 +747,9 @@ class _Sql(Reader):
             if self.is_("("):
                 self.name_list()
             elif self.now.kind == "quoted" or self.now.kind == "word" and not (self.clause_here() and self.clause_follows()):
-                self.at += 1
+                self.name()
         elif self.now.kind == "quoted" or self.now.kind == "word" and not (self.clause_here() and self.clause_follows()):
-            self.at += 1
+            self.name()
         elif self.is_("("):
             self.attempt(self.name_list)
 
@@ -905,11 +905,11 @@ class _Sql(Reader):
         if self.is_("AS"):
             self.at += 1
             if self.now.kind == "quoted" or self.now.kind == "word" and self.now.up not in _JOIN_WORDS and not (self.clause_here() and self.clause_follows()):
-                self.at += 1
+                self.name()
         elif self.now.kind == "quoted":
-            self.at += 1
+            self.name()
         elif self.now.kind == "word" and self.now.up not in _JOIN_WORDS and self.now.up not in but and not self.clause_here() and not self.other_clause():
-            self.at += 1
+            self.name()
         else:
             return
         if self.is_("("):
