@@ -122,9 +122,15 @@ ABOUT = (
 
 
 def _word(r: random.Random) -> str:
-    """An invented identifier of two to four syllables."""
-    onset = lambda: r.choice("bcdfghklmnprstvwyz") if r.random() < 0.8 else r.choice(("dr", "br", "th", "tr", "st", "kr", ""))
-    part = lambda: "".join(onset() + r.choice("aeiou") + r.choice(("", "", "", "l", "n", "r", "s", "m", "th")) for _ in range(r.randint(1, 2))) * r.choice((1, 1, 1, 1, 2)) + onset() + r.choice("aeio")
+    """An invented identifier of two to four syllables, at times with one of them twice."""
+
+    def syllable() -> str:
+        onset = r.choice("bcdfghklmnprstvwyz") if r.random() < 0.8 else r.choice(("dr", "br", "th", "tr", "st", "kr", ""))
+        return onset + r.choice("aeiou") + r.choice(("", "", "", "", "l", "n", "r", "s", "m", "th"))
+
+    def part() -> str:
+        return syllable() * r.choice((1, 1, 1, 1, 1, 2)) + "".join(syllable() for _ in range(r.randint(1, 2)))
+
     return part() + (r.choice("._") + part() if r.random() < 0.3 else "")
 
 
