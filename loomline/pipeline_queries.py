@@ -253,6 +253,13 @@ _AGGREGATES: dict[str, tuple[str, str | None]] = {
     "array_agg": ("size(array_agg(l_linenumber))", "len(array_agg(l_linenumber))"), "string_agg": ("length(string_agg(l_returnflag, ','))", "length(string_agg(l_returnflag, ','))"), "list": ("array_max(list(l_partkey))", "max(l_partkey)"),
     "first": ("first(l_suppkey)", None), "last": ("last(l_suppkey)", None), "any_value": ("any_value(l_suppkey)", None), "bit_and": ("bit_and(l_partkey)", None), "bit_or": ("bit_or(l_partkey)", None),
 }
+#: Whole values over all orders. The first four depend on the order of rows (mode: where values tie), so no SQL fixes them; the others are put in order.
+_WHOLE: dict[str, tuple[str, str | None]] = {
+    **{k: (_AGGREGATES[k][0], None) for k in ("first", "last", "any_value", "mode")},
+    "array_agg": ("array_join(array_sort(array_agg(l_linenumber)), ',')", "array_to_string(list_sort(array_agg(l_linenumber)), ',')"),
+    "string_agg": ("string_agg(l_returnflag, ',') WITHIN GROUP (ORDER BY l_returnflag)", "string_agg(l_returnflag, ',' ORDER BY l_returnflag)"),
+    "list": ("array_join(array_sort(list(l_partkey)), ',')", "array_to_string(list_sort(list(l_partkey)), ',')"),
+}
 
 
 def join_asof(spark: SparkSession, d: str) -> DataFrame:
@@ -269,13 +276,17 @@ def join_range(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _aggregate(name: str, value: str, source: str) -> str:
-    """Per order; order-dependent ones over single rows, moments per supplier."""
+    """Per order; order-dependent ones over single rows (over all orders: _whole), moments per supplier."""
     if name in ("first", "last", "any_value", "mode"):
         return f"SELECT l_orderkey AS k, {value} AS v FROM {source} GROUP BY l_orderkey HAVING count(*) = 1"
     key = "l_suppkey" if name.startswith(("std", "var")) else "l_orderkey"
     return f"SELECT {key} AS k, {value} AS v FROM {source} GROUP BY {key}"
 
 
+def _whole(value: str, source: str) -> str:
+    return f"SELECT l_orderkey AS k, {value} AS v FROM {source} GROUP BY l_orderkey"
+
+
 def _host(text: str) -> str:
     return text.replace("raw.", "")
 
@@ -305,6 +316,7 @@ QUERIES: dict[str, Query] = {
     **{f"column_lineage_{k}": _columns(sql, schemas) for k, (sql, schemas, _) in _LINEAGE.items()},
     **{k: _one(sql) for k, (sql, _) in _SQL.items()},
     **{f"agg_{k}": _one(_aggregate(k, sql, "raw.lineitem")) for k, (sql, _) in _AGGREGATES.items()},
+    **{f"agg_{k}_all": _one(_whole(sql, "raw.lineitem")) for k, (sql, _) in _WHOLE.items()},
     "join_asof": join_asof, "join_range": join_range,
 }
 
@@ -340,6 +352,7 @@ ORACLE: dict[str, str] = {
     **{f"column_lineage_{k}": _values("output dataset field kind subtype", r) for k, (_, _, r) in _LINEAGE.items()},
     **{k: other or _host(sql) for k, (sql, other) in _SQL.items()},
     **{f"agg_{k}": _aggregate(k, other or sql, "lineitem") for k, (sql, other) in _AGGREGATES.items()},
+    **{f"agg_{k}_all": _whole(other, "lineitem") for k, (_, other) in _WHOLE.items() if other},
     "join_asof": "SELECT o_orderkey, coalesce((SELECT max_by(e.event_id, (e.ts, e.event_id)) FROM events e WHERE e.user_id = o.o_custkey AND e.ts - INTERVAL 30 YEARS <= o.o_orderdate), -1) AS event_id FROM orders o",
     "join_range": "SELECT c_custkey, p_partkey FROM customer JOIN part ON c_acctbal BETWEEN p_retailprice - 5 AND p_retailprice + 5",
 }
