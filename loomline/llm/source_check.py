@@ -38,7 +38,7 @@ def confirmed(language: str, text: str) -> bool:
         else:
             return True
     except RecursionError:
-        return False
+        return language == "json"  # Python's parser has accepted the text by then: only its tree is too deep
     except (SyntaxError, ValueError, MemoryError):
         return True
     return False
