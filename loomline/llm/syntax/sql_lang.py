@@ -167,9 +167,9 @@ class _Sql(Reader):
     def statement(self) -> None:
         rule = {
             "CREATE": self.create, "REPLACE": self.create, "INSERT": self.with_ctes, "UPDATE": self.update, "DELETE": self.delete, "MERGE": self.merge, "DROP": self.drop,
-            "TRUNCATE": self.truncate, "ALTER": self.loose, "SHOW": self.loose, "DESCRIBE": self.loose, "DESC": self.loose, "ANALYZE": self.loose, "REFRESH": self.loose, "MSCK": self.loose,
-            "USE": self.use, "SET": self.anything, "RESET": self.anything, "ADD": self.anything, "LIST": self.anything, "CACHE": self.cache, "UNCACHE": self.drop, "CLEAR": self.loose, "EXPLAIN": self.explain, "LOAD": self.loose, "COMMENT": self.comment_on,
-            "CALL": self.loose, "DECLARE": self.loose, "EXECUTE": self.loose, "GRANT": self.loose, "REVOKE": self.loose, "REPAIR": self.loose,
+            "TRUNCATE": self.truncate, "ALTER": self.alter, "SHOW": self.show, "DESCRIBE": self.describe, "DESC": self.describe, "ANALYZE": self.analyze, "REFRESH": self.refresh, "MSCK": self.repair,
+            "USE": self.use, "SET": self.anything, "RESET": self.anything, "ADD": self.anything, "LIST": self.anything, "CACHE": self.cache, "UNCACHE": self.drop, "CLEAR": self.clear, "EXPLAIN": self.explain, "LOAD": self.load, "COMMENT": self.comment_on,
+            "CALL": self.loose, "DECLARE": self.loose, "EXECUTE": self.loose, "GRANT": self.loose, "REVOKE": self.loose, "REPAIR": self.repair,
         }.get(self.now.up if self.now.kind == "word" else "")
         if rule:
             rule()
@@ -195,6 +195,378 @@ class _Sql(Reader):
         if depth or not words:
             raise self.stop("more")
 
+    def ends(self) -> bool:
+        return self.is_(";") or self.now.kind == "end"
+
+    def if_exists(self) -> None:
+        self.take("IF", "EXISTS")
+
+    def clear(self) -> None:
+        self.need("CLEAR", "CACHE")
+
+    def repair(self) -> None:
+        self.take("MSCK")
+        self.need("REPAIR", "TABLE")
+        self.table_name()
+        if self.is_("ADD", "DROP", "SYNC"):
+            self.at += 1
+            self.need("PARTITIONS")
+
+    def load(self) -> None:
+        self.need("LOAD", "DATA")
+        self.take("LOCAL")
+        self.need("INPATH")
+        self.string()
+        self.take("OVERWRITE")
+        self.need("INTO", "TABLE")
+        self.table_name()
+        if self.is_("PARTITION"):
+            self.partition_spec()
+
+    def refresh(self) -> None:
+        """A table, a function, or a path: a string, or words without a blank between them."""
+        self.need("REFRESH")
+        if self.is_("TABLE", "FUNCTION") and self.peek().kind in ("word", "quoted"):
+            self.at += 1
+            self.table_name()
+        elif self.now.kind == "string" and (self.peek().kind == "end" or self.peek().text == ";"):
+            self.at += 1
+        else:
+            if self.ends():
+                raise self.stop("a path")
+            while not self.ends():
+                t = self.now
+                if t.kind == "bad" or any(c.isspace() for c in t.text):
+                    raise self.stop("a path without blanks")
+                self.at += 1
+                if not self.ends() and self.now.pos != t.pos + len(t.text):
+                    raise self.stop("a path without blanks")
+
+    def analyze(self) -> None:
+        self.need("ANALYZE")
+        if self.take("TABLES"):
+            if self.is_("FROM", "IN"):
+                self.at += 1
+                self.table_name()
+            self.need("COMPUTE", "STATISTICS")
+            self.take("NOSCAN")
+            return
+        self.need("TABLE")
+        self.table_name()
+        if self.is_("PARTITION"):
+            self.partition_spec()
+        self.need("COMPUTE", "STATISTICS")
+        if self.take("FOR"):
+            if not self.take("ALL", "COLUMNS"):
+                self.need("COLUMNS")
+                self.some(self.name)
+        else:
+            self.take("NOSCAN")
+
+    def describe(self) -> None:
+        self.at += 1
+        start = self.at
+        for rule in (self.describe_other, self.describe_table):
+            if self.attempt(rule) and self.ends():
+                return
+            self.at = start
+        self.take("QUERY")
+        self.query()
+
+    def describe_other(self) -> None:
+        if self.take("FUNCTION"):
+            self.take("EXTENDED")
+            if self.now.kind in ("string", "mark") and not self.is_("(", ")", ",", ".", ";", "[", "]", ":", "?"):
+                self.at += 1
+            else:
+                self.table_name()
+        elif self.take("PROCEDURE"):
+            self.table_name()
+        elif self.is_("DATABASE", "SCHEMA", "NAMESPACE"):
+            self.at += 1
+            self.take("EXTENDED")
+            self.table_name()
+        else:
+            raise self.stop("FUNCTION or DATABASE")
+
+    def describe_table(self) -> None:
+        if self.is_("TABLE") and self.peek().kind in ("word", "quoted"):
+            self.at += 1
+        extended = self.is_("EXTENDED", "FORMATTED") and self.peek().kind in ("word", "quoted")
+        self.at += extended
+        self.table_name()
+        if self.is_("PARTITION") and self.peek().text == "(":
+            self.partition_spec()
+        if extended and self.take("AS", "JSON"):
+            return
+        if not self.ends():
+            self.names()
+
+    def like(self) -> None:
+        """[LIKE] 'pattern'"""
+        if self.take("LIKE") or self.now.kind == "string":
+            self.string()
+
+    def within(self) -> None:
+        if self.is_("FROM", "IN"):
+            self.at += 1
+            self.table_name()
+
+    def show(self) -> None:
+        self.need("SHOW")
+        if self.is_("DATABASES", "SCHEMAS", "NAMESPACES", "TABLES", "VIEWS"):
+            self.at += 1
+            self.within()
+            self.like()
+        elif self.take("TABLE", "EXTENDED"):
+            self.within()
+            self.need("LIKE")
+            self.string()
+            if self.is_("PARTITION"):
+                self.partition_spec()
+        elif self.take("TBLPROPERTIES"):
+            self.table_name()
+            if self.take("("):
+                self.string() if self.now.kind == "string" else self.names()
+                self.need(")")
+        elif self.take("COLUMNS"):
+            if not self.is_("FROM", "IN"):
+                raise self.stop("FROM or IN")
+            self.within()
+            self.within()
+        elif self.take("PARTITIONS"):
+            self.table_name()
+            if self.is_("PARTITION"):
+                self.partition_spec()
+        elif self.take("CREATE", "TABLE"):
+            self.table_name()
+            self.take("AS", "SERDE")
+        elif self.take("CURRENT"):
+            if not self.is_("DATABASE", "SCHEMA", "NAMESPACE"):
+                raise self.stop("DATABASE")
+            self.at += 1
+        elif self.take("CATALOGS"):
+            self.like()
+        elif self.take("PROCEDURES"):
+            self.within()
+        else:
+            if not self.is_("FUNCTIONS"):
+                self.name()  # USER, SYSTEM or ALL
+                if self.tokens[self.at - 1].up not in ("USER", "SYSTEM", "ALL"):
+                    self.at -= 1
+                    raise self.stop("what to show")
+            self.need("FUNCTIONS")
+            self.within()
+            self.take("LIKE")
+            if self.now.kind == "string":
+                self.at += 1
+            elif not self.ends():
+                self.names()
+
+    def alter(self) -> None:
+        self.need("ALTER")
+        if self.is_("DATABASE", "SCHEMA", "NAMESPACE"):
+            self.at += 1
+            self.table_name()
+            self.alter_namespace()
+        elif self.take("VIEW"):
+            self.table_name()
+            self.alter_view()
+        else:
+            self.need("TABLE")
+            self.table_name()
+            self.alter_table()
+
+    def alter_namespace(self) -> None:
+        if self.take("UNSET"):
+            if not self.is_("DBPROPERTIES", "PROPERTIES"):
+                raise self.stop("PROPERTIES")
+            self.at += 1
+            self.properties()
+            return
+        if self.take("DEFAULT", "COLLATION"):
+            self.name()
+            return
+        self.need("SET")
+        if self.take("LOCATION"):
+            self.string()
+        elif self.is_("DBPROPERTIES", "PROPERTIES"):
+            self.at += 1
+            self.properties()
+        else:
+            raise self.stop("PROPERTIES or LOCATION")
+
+    def alter_properties(self) -> bool:
+        if self.take("SET", "TBLPROPERTIES"):
+            self.properties()
+        elif self.take("UNSET", "TBLPROPERTIES"):
+            self.if_exists()
+            self.properties()
+        elif self.take("RENAME", "TO"):
+            self.names()
+        else:
+            return False
+        return True
+
+    def alter_view(self) -> None:
+        if self.alter_properties():
+            return
+        if self.take("WITH", "SCHEMA"):
+            if not self.take("TYPE", "EVOLUTION"):
+                if not self.is_("BINDING", "COMPENSATION", "EVOLUTION"):
+                    raise self.stop("a kind of schema binding")
+                self.at += 1
+            return
+        self.take("AS")
+        self.query()
+
+    def column_place(self) -> None:
+        if self.take("AFTER"):
+            self.name()
+        else:
+            self.need("FIRST")
+
+    def new_column(self) -> None:
+        self.names()
+        self.data_type()
+        while not self.ends() and not self.is_(",", ")"):
+            if self.take("NOT", "NULL"):
+                continue
+            if self.take("COMMENT"):
+                self.string()
+            elif self.take("DEFAULT"):
+                self.expression()
+            else:
+                self.column_place()
+
+    def new_columns(self) -> None:
+        if self.take("("):
+            self.some(self.new_column)
+            self.need(")")
+        else:
+            self.some(self.new_column)
+
+    def changed_column(self) -> None:
+        self.names()
+        if self.take("TYPE"):
+            self.data_type()
+        elif self.take("COMMENT"):
+            self.string()
+        elif self.is_("FIRST", "AFTER"):
+            self.column_place()
+        elif self.is_("SET", "DROP"):
+            drop = self.is_("DROP")
+            self.at += 1
+            if not self.take("NOT", "NULL"):
+                self.need("DEFAULT")
+                if not drop:
+                    self.expression()
+        else:
+            raise self.stop("a change")
+
+    def changed_columns(self) -> None:
+        self.some(self.changed_column)
+
+    def hive_column(self) -> None:
+        """The old and the new name must be the same."""
+        self.names()
+        old = self.tokens[self.at - 1].text.strip("`").lower()
+        if self.now.text.strip("`").lower() != old:
+            raise self.stop("the same name")
+        self.name()
+        self.data_type()
+        if self.take("COMMENT"):
+            self.string()
+        if self.is_("FIRST", "AFTER"):
+            self.column_place()
+
+    def alter_table(self) -> None:
+        if self.alter_properties():
+            return
+        if self.take("RENAME", "COLUMN"):
+            self.names()
+            self.need("TO")
+            self.name()
+        elif self.take("ADD"):
+            if self.is_("PARTITION", "IF"):
+                self.if_not_exists()
+                if not self.is_("PARTITION"):
+                    raise self.stop("PARTITION")
+                while self.is_("PARTITION"):
+                    self.partition_spec()
+                    if self.take("LOCATION"):
+                        self.string()
+            elif self.is_("COLUMN", "COLUMNS"):
+                self.at += 1
+                self.new_columns()
+            else:
+                self.constraint()
+        elif self.take("DROP"):
+            if self.take("CONSTRAINT"):
+                self.if_exists()
+                self.name()
+                if self.is_("RESTRICT", "CASCADE"):
+                    self.at += 1
+            elif self.is_("COLUMN", "COLUMNS"):
+                self.at += 1
+                self.if_exists()
+                if self.take("("):
+                    self.some(self.names)
+                    self.need(")")
+                else:
+                    self.some(self.names)
+            else:
+                self.if_exists()
+                self.some(self.partition_spec)
+                self.take("PURGE")
+        elif self.is_("ALTER", "CHANGE"):
+            self.change_column()
+        elif self.take("RECOVER"):
+            self.need("PARTITIONS")
+        elif self.take("CLUSTER", "BY"):
+            self.take("NONE") or self.name_list_of_names()
+        elif self.take("DEFAULT", "COLLATION"):
+            self.name()
+        else:
+            if self.is_("PARTITION"):
+                self.partition_spec()
+            if self.take("RENAME", "TO"):
+                self.partition_spec()
+            elif self.take("REPLACE", "COLUMNS"):
+                self.need("(")
+                self.some(self.new_column)
+                self.need(")")
+            elif self.is_("CHANGE"):
+                self.change_column()
+            else:
+                self.need("SET")
+                if self.take("LOCATION"):
+                    self.string()
+                elif self.take("SERDEPROPERTIES"):
+                    self.properties()
+                else:
+                    self.need("SERDE")
+                    self.string()
+                    if self.take("WITH", "SERDEPROPERTIES"):
+                        self.properties()
+
+    def name_list_of_names(self) -> None:
+        self.need("(")
+        self.some(self.names)
+        self.need(")")
+
+    def change_column(self) -> None:
+        rules = (self.changed_columns, self.hive_column) if self.is_("CHANGE") else (self.changed_columns,)
+        self.at += 1
+        start, word = self.at, self.is_("COLUMN")
+        for skip in (word, False):  # COLUMN may be the column's name
+            for rule in rules:
+                self.at = start + skip
+                if self.attempt(rule) and self.ends():
+                    return
+        self.at = start + word
+        self.changed_columns()
+
     def use(self) -> None:
         self.need("USE")
         if self.is_("NAMESPACE", "DATABASE", "SCHEMA") and self.peek().kind in ("word", "quoted"):
