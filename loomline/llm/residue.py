@@ -2,7 +2,7 @@
 
 Three character n-gram models (orders 1 to 5, each backing off to the one below) are fit on the seed texts:
 stand-ins (placeholders, forms, filler), notices (errors, demands for scripts) and natural prose. A text is taken
-apart into units: lines of messages, authors, and lines of a diff that belong to no hunk. Source lines in hunks,
+apart into units: lines of messages, their sentences and clauses, authors, and lines of a diff that belong to no hunk. Source lines in hunks,
 binary data and the fixed lines of a layout are no units. For each character of a unit the log ratio of a residue
 model to prose is looked up; windows whose mean is above a threshold localise residue, and a unit is residue if
 windows cover enough of it. A document is excluded if one of its units is.
@@ -173,6 +173,9 @@ _FIXED = re.compile(
 )
 _LEAD = re.compile(r"(?:Author|From|user|Commit|Committer):\s+(?P<author>.*)|r\d+ \| (?P<svn>.*) \| \d{4}-.*|\* \d{4}-\d\d-\d\d [\d:]+ [+-]\d{4} (?P<who>[^:]*): (?P<what>.*)|(?P<wrote>.*) wrote on \d{4}-.*:|Subject: (?:\[PATCH[^\]]*\] )?(?P<subject>.*)")
 
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
+_CLAUSE = re.compile(r"(?<=[.!?,;:])\s+|(?<=[。！？、；：])\s*|\s+[-–—]+\s+")
+
 
 @dataclass(frozen=True, slots=True)
 class Unit:
@@ -180,6 +183,17 @@ class Unit:
     text: str
 
 
+def _pieces(line: str, out: list[Unit]) -> None:
+    """A line, and its sentences and clauses of at least a window: residue in one of them isn't diluted by the others."""
+    out.append(Unit("text", line))
+    if len(line) <= WINDOW:
+        return
+    for end in (_SENTENCE, _CLAUSE):
+        parts = end.split(line)
+        if len(parts) > 1:
+            out.extend(Unit("text", p) for p in map(str.strip, parts) if len(p) >= WINDOW)
+
+
 def _lines(text: str, out: list[Unit]) -> None:
     text = _BINARY.sub("", _HUNK.sub("", text))
     for line in text.split("\n"):
@@ -188,11 +202,13 @@ def _lines(text: str, out: list[Unit]) -> None:
             continue
         m = _LEAD.fullmatch(s)
         if not m:
-            out.append(Unit("text", s))
+            _pieces(s, out)
             continue
-        for part, value in (("author", m["author"] or m["svn"] or m["who"] or m["wrote"]), ("text", m["what"] or m["subject"])):
-            if value and value.strip():
-                out.append(Unit(part, value.strip()))
+        author, said = m["author"] or m["svn"] or m["who"] or m["wrote"], m["what"] or m["subject"]
+        if author and author.strip():
+            out.append(Unit("author", author.strip()))
+        if said and said.strip():
+            _pieces(said.strip(), out)
 
 
 def _commit(record: dict, out: list[Unit]) -> None:
