@@ -90,9 +90,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 # 9. mixing sources
 
 
-def _mixed(spark: SparkSession, d: str) -> DataFrame:
-    sized = written(encode(table(spark, d, "documents"), "text", ["doc_id", "source"], lengths_only=True), "sizes")
-    return mixing.copies(sized, table(spark, d, "mix_targets"))
+def _mixed(spark: SparkSession, d: str, corpus: bool = False) -> DataFrame:
+    """corpus: ask for as many tokens as the sources with a target hold, instead of the most at which all shares hold."""
+    sized, targets = written(encode(table(spark, d, "documents"), "text", ["doc_id", "source"], lengths_only=True), "sizes"), table(spark, d, "mix_targets")
+    total = sized.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").agg(F.sum("n_tokens")).first()[0] if corpus else None
+    return mixing.copies(sized, targets, total=total)
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -108,6 +110,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(written(_mixed(spark, d), "copies"), table(spark, d, "mix_targets"))
 
 
+def p9_corpus_mix(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture of the corpus's size: scarce sources stop at max_repeats, the others share the rest."""
+    return mixing.mixture(_mixed(spark, d, corpus=True))
+
+
+def p9_corpus_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of that mixture, with what scarce sources fall short of."""
+    return mixing.shares(written(_mixed(spark, d, corpus=True), "copies"), table(spark, d, "mix_targets"))
+
+
 # 10. residue
 
 
@@ -128,7 +140,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_faults": p2_faults, "p2_rates": p2_rates, "p4_found": p4_found, "p4_ranked": p4_ranked, "p7_percentiles": p7_percentiles, "p7_monthly": p7_monthly,
-    "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_schedule": p9_schedule, "p9_shares": p9_shares,
+    "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_schedule": p9_schedule, "p9_shares": p9_shares, "p9_corpus_mix": p9_corpus_mix, "p9_corpus_shares": p9_corpus_shares,
     "p10_found": p10_found, "p10_residue": p10_residue, "p10_clean": p10_clean,
 }
 
