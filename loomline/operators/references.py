@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.skew import PARTS, copied, hot_keys, salted
+
 #: Ends of time, in microseconds.
 ALWAYS, NEVER_ENDS = -(2**63) + 1, 2**63 - 1
 
 
-def hot_keys(refs: DataFrame, share: int) -> DataFrame:
-    """Keys with more than 1/share of all references: fewer than `share` rows, whatever the data."""
-    total = refs.count()
-    return refs.groupBy("space", "key").count().where(F.col("count") > max(1, total // share)).select("space", "key")
-
-
-def orphans(refs: DataFrame, parents: DataFrame, share: int = 64, salts: int = 32) -> DataFrame:
+def orphans(refs: DataFrame, parents: DataFrame, parts: int = PARTS) -> DataFrame:
     """References without a valid parent at their time.
 
     refs: space, key, at (microseconds; null: any time) and any other columns; null keys refer to nothing.
@@ -25,32 +21,29 @@ def orphans(refs: DataFrame, parents: DataFrame, share: int = 64, salts: int = 3
     "late" (it comes later). A reference with a null time is an orphan only if its key has no parent.
 
     Both sides are hashed to the same partitions by key, sorted by time with parents first, and merged in one
-    pass of running maxima. Keys with more than 1/share of all references are spread over `salts` parts, to each
-    of which the parent's few intervals are copied.
+    forward pass: each parent has a mark at the beginning of time, by which later references know that it exists at
+    some time, and the greatest end of the intervals begun so far tells whether one is open. A key with more than
+    1/parts of all references is split in proportion to its count, and the parent's intervals are copied to its
+    parts, so that the references of one task are at most about 1/parts of all.
     """
-    other = [c for c in refs.columns if c not in ("space", "key", "at")]
-    refs = refs.where(F.col("key").isNotNull())
-    hot = hot_keys(refs, share).withColumn("hot", F.lit(True))
-    payload = F.struct(*[F.col(c) for c in other]) if other else F.struct(F.lit(1).alias("_"))
-    spread = F.pmod(F.xxhash64(payload, "at"), F.lit(salts)).cast("int")
     on = ["space", "key"]
-    # fewer than `share` keys: a broadcast of bounded size
-    r = refs.join(F.broadcast(hot), on, "left").select(
-        *on, F.when(F.col("hot"), spread).otherwise(0).alias("salt"), F.col("at").alias("t"), F.lit(1).alias("side"),
-        F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("until"), F.col("at"), payload.alias("ref"),
+    other = [c for c in refs.columns if c not in (*on, "at")]
+    payload = F.struct(*[F.col(c) for c in other]) if other else F.struct(F.lit(1).alias("_"))
+    r = refs.where(F.col("key").isNotNull()).select(*on, "at", payload.alias("ref"))
+    hot = hot_keys(r, on, parts)
+    r = salted(r, hot, on, ["ref", "at"], parts).select(
+        *on, "__salt", F.coalesce("at", F.lit(NEVER_ENDS)).alias("t"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("until"), "at", "ref",
     )
-    p = parents.where(F.col("key").isNotNull()).select(*on, F.coalesce("valid_from", F.lit(ALWAYS)).alias("start"), F.coalesce("valid_to", F.lit(NEVER_ENDS)).alias("until"))
-    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    p = p.join(F.broadcast(hot), on, "left").select(*on, F.explode(copies).alias("salt"), F.col("start").alias("t"), F.lit(0).alias("side"), "start", "until")
-    both = r.unionByName(p, allowMissingColumns=True).withColumn("t", F.coalesce("t", F.lit(NEVER_ENDS)))
-    sorted_by_time = Window.partitionBy(*on, "salt").orderBy("t", "side")
-    so_far = sorted_by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = sorted_by_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    merged = both.select(
-        "*", F.max("until").over(so_far).alias("open_until"), F.max("start").over(whole).alias("last_start"),
-    ).where("side = 1")
+    p = parents.where(F.col("key").isNotNull()).select(*on, F.coalesce("valid_from", F.lit(ALWAYS)).alias("t"), F.coalesce("valid_to", F.lit(NEVER_ENDS)).alias("until"))
+    # one interval for each beginning: the longest; and the mark of existence, which is open at no time
+    p = p.groupBy(*on, "t").agg(F.max("until").alias("until"))
+    p = p.unionByName(p.select(*on).distinct().select(*on, F.lit(ALWAYS - 1).alias("t"), F.lit(None).cast("long").alias("until")))
+    p = copied(p, hot, on).select(*on, "__salt", "t", F.lit(0).alias("side"), "until")
+    both = r.unionByName(p, allowMissingColumns=True)
+    so_far = Window.partitionBy(*on, "__salt").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = both.select("*", F.max("until").over(so_far).alias("open_until"), F.min("side").over(so_far).alias("known")).where("side = 1")
     reason: Column = (
-        F.when(F.col("last_start").isNull(), "missing")
+        F.when(F.col("known") == 1, "missing")
         .when(F.col("at").isNull(), None)
         .when(F.col("open_until") > F.col("at"), None)
         .when(F.col("open_until").isNotNull(), "deleted")

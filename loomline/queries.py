@@ -9,6 +9,7 @@ from loomline.functions.names import canonical, micros, uuid_key
 from loomline.operators import hierarchy as H
 from loomline.operators.incremental import IncrementalState, content_hash
 from loomline.operators.references import orphans
+from loomline.operators.skew import salted_join
 from loomline.session import scratch_path, written
 from loomline.sources.tables import table
 from loomline.streaming.dedup import SeenMessages, drop_repeats, parquet_stream
@@ -41,31 +42,57 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _current(spark: SparkSession, d: str) -> DataFrame:
-    """(task_name, row_id, t, mark, content_hash): rows of each incremental task's inputs, with the task's mark."""
+    """(task_name, by, row_id, t, since, mark, first_mark, body): rows of each incremental task's inputs, with the time the
+    task goes by, the time since which the row exists, and the least and the greatest mark of the task's runs."""
     tasks = table(spark, d, "tasks").select(canonical("name").alias("task_name"), canonical("incremental_by").alias("by"), "inputs")
     tasks = tasks.where(F.col("by").isin(*TIME_COLUMNS) & F.col("task_name").isNotNull())
     reads = tasks.select("task_name", "by", F.explode("inputs").alias("i")).select("task_name", "by", canonical("i").alias("dataset")).where("dataset is not null").distinct()
     runs = table(spark, d, "runs").where(canonical("status") == "success")
-    marks = runs.groupBy(canonical("task_name").alias("task_name")).agg(F.max(micros("last_processed_at")).alias("mark"))
-    reads = reads.join(marks, "task_name", "left").withColumn("mark", F.coalesce("mark", F.lit(0)))
+    at = micros("last_processed_at")
+    marks = runs.groupBy(canonical("task_name").alias("task_name")).agg(F.max(at).alias("mark"), F.min(at).alias("first_mark"))
+    reads = reads.join(marks, "task_name", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("mark", "first_mark")})
     rows = table(spark, d, "source_rows").select(
-        "row_id", canonical("dataset").alias("dataset"), *[micros(c).alias(c) for c in TIME_COLUMNS], content_hash("row_key", "op", *TIME_COLUMNS, "amount").alias("content_hash")
+        "row_id", canonical("dataset").alias("dataset"), *[micros(c).alias(c) for c in TIME_COLUMNS], content_hash("row_key", "op", "event_time", "amount").alias("body")
     )
     when = F.when(F.col("by") == TIME_COLUMNS[0], F.col(TIME_COLUMNS[0])).when(F.col("by") == TIME_COLUMNS[1], F.col(TIME_COLUMNS[1])).otherwise(F.col(TIME_COLUMNS[2]))
-    return rows.join(reads, "dataset").select("task_name", "row_id", when.alias("t"), "mark", "content_hash").where("t is not null")
+    read = salted_join(rows.where("dataset is not null"), reads, ["dataset"], ["row_id"])
+    return read.select("task_name", "by", "row_id", when.alias("t"), F.coalesce("event_time", when).alias("since"), "mark", "first_mark", "body").where("t is not null")
+
+
+class _Lost(Exception):
+    """A failure between runs."""
+
+
+def _lost(rows: DataFrame) -> DataFrame:
+    raise _Lost
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """The state of what successful runs have covered is written and swapped in; the operator takes the rest."""
+    """The history of each task is run again, then the next run is made; its output is the result.
+
+    The source is put back to what it was at a mark: a row is there if it existed by then (event_time), as it is now if
+    the task's column isn't later than the mark, else in its earlier form, with that column as it was at first. A
+    run at the tasks' first marks, a failed one, and one at their last marks leave their state of keys and content
+    hashes; the run over the rows as they are takes those that the state lacks (new) or holds in another form
+    (changed), which are those later than the mark.
+    """
     current = written(_current(spark, d), "current")
-    store = IncrementalState(spark, scratch_path(spark, "p3"), ["task_name", "row_id"])
-    covered = current.where("t <= mark").groupBy("task_name", "row_id").agg(F.max("content_hash").alias("content_hash"))
-    store.commit(covered, after=0)
-    return store.pending(current).select("task_name", "row_id").distinct()
+    store = IncrementalState(spark, scratch_path(spark, "p3"), ["task_name", "by", "row_id"])
 
+    def as_of(mark: str) -> DataFrame:
+        return current.where(F.least("t", "since") <= F.col(mark)).withColumn("t", F.when(F.col("t") <= F.col(mark), F.col("t")).otherwise(F.col("since")))
 
-class _Lost(Exception):
-    """The failure that p3_runs makes between its runs."""
+    def take(rows: DataFrame) -> DataFrame:
+        return rows.select("task_name", "row_id", "change")
+
+    store.run(as_of("first_mark"), ["t", "body"], take)
+    try:
+        store.run(as_of("mark"), ["t", "body"], _lost)
+    except _Lost:
+        pass
+    past = store.run(as_of("mark"), ["t", "body"], take)
+    store.run(current, ["t", "body"], take)
+    return store.output(since=past).select("task_name", "row_id").distinct()
 
 
 def p3_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -77,13 +104,10 @@ def p3_runs(spark: SparkSession, d: str) -> DataFrame:
     older = F.when(F.col("row_id") % 3 == 1, F.concat(F.coalesce("op", F.lit("")), F.lit("-"))).otherwise(F.col("op"))
     store, content = IncrementalState(spark, scratch_path(spark, "p3"), ["row_id"]), ["dataset", "row_key", "op", *TIME_COLUMNS, "amount"]
 
-    def lost(rows: DataFrame) -> DataFrame:
-        raise _Lost
-
     out = lambda rows: rows.select("row_id", "change")
     store.run(now.where("row_id % 3 <> 0").withColumn("op", older), content, out)
     try:
-        store.run(now, content, lost)
+        store.run(now, content, _lost)
     except _Lost:
         pass
     store.run(now, content, out)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomline.sources.files import remove
+
 
 def local_session(cores: str = "*", app: str = "loomline", shuffle_partitions: int = 8) -> SparkSession:
     """A session for one machine. On a cluster the session comes from spark-submit and is used as it is."""
@@ -25,16 +28,35 @@ def local_session(cores: str = "*", app: str = "loomline", shuffle_partitions: i
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where the session names none."""
+    """The folder named by spark.checkpoint.dir. Where the session names none, a temporary one is set in local mode; on
+    a cluster that is an error, as no machine's own folder is seen by the others."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomline-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
+_swept: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomline/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below a folder of this session that goes when the process ends."""
+    base = f"{shared_dir(spark)}/loomline/{spark.sparkContext.applicationId}"
+    if base not in _swept:
+        _swept.add(base)
+        atexit.register(_sweep, spark, base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def _sweep(spark: SparkSession, base: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            remove(spark, base)
+    except Exception:  # noqa: BLE001, S110  (the session may be gone; then the folder stays for its owner to clear)
+        pass
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

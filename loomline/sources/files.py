@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -40,6 +42,37 @@ def swap_text(spark: SparkSession, path: str, text: str) -> None:
     context.rename(tmp, p, how)
 
 
+def publish_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Create the file with its whole text in one step; False, and nothing changes, if it is there already."""
+    jvm = spark._jvm
+    p, fs = _fs(spark, path)
+    fs.mkdirs(p.getParent())
+    tmp = jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(tmp, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.NONE
+    try:
+        context.rename(tmp, p, how)
+    except Exception:
+        fs.delete(tmp, False)
+        if fs.exists(p):
+            return False
+        raise
+    return True
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder that aren't hidden; none if it isn't there."""
+    p, fs = _fs(spark, path)
+    return sorted(n for n in (f.getPath().getName() for f in fs.listStatus(p)) if n[0] != ".") if fs.exists(p) else []
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p, fs = _fs(spark, path)
     return fs.exists(p)

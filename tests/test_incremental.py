@@ -1,6 +1,8 @@
 import pytest
+from oracle import DATA
+from pyspark.sql import functions as F
 
-from loomline.operators.incremental import IncrementalState, changes, content_hash
+from loomline.operators.incremental import IncrementalState, StateMoved, changes, content_hash
 
 SCHEMA = "k int, a string, b string, content string"
 
@@ -31,12 +33,58 @@ def test_failure_leaves_no_trace(spark, tmp_path):
     with pytest.raises(OSError, match="lost"):
         s.run(_df(spark, rows), ["a"], broken)
     assert s.version() == 0 and s.output() is None
-    # output was written but the swap did not happen: the next run takes the same rows and only its output counts
-    _df(spark, rows).select("k").write.parquet(str(tmp_path / "s/output/v00000001"))
+    # what a run that died wrote is named by no version: the next run takes the same rows and only its output counts
+    _df(spark, rows).select("k").write.parquet(str(tmp_path / "s/output/dead"))
     s.run(_df(spark, rows), ["a"], lambda df: df.select("k"))
     assert sorted(r.k for r in s.output().collect()) == [1, 2]
-    with pytest.raises(RuntimeError):
-        s.commit(_df(spark, rows).withColumn("content_hash", content_hash("a")), after=0)
+    assert s.vacuum() == ["output/dead"] and s.output().count() == 2
+
+
+def test_the_loser_of_a_race_changes_nothing(spark, tmp_path):
+    """Two runs begin at the same version; the second to end fails, and what the first published stays."""
+    s = IncrementalState(spark, str(tmp_path / "s"), ["k"])
+    s.run(_df(spark, [(1, "x", "y", "c")]), ["a"], lambda df: df.select("k"))
+    other = IncrementalState(spark, str(tmp_path / "s"), ["k"])
+
+    def overtaken(df):
+        other.run(_df(spark, [(1, "x", "y", "c"), (5, "winner", "y", "c")]), ["a"], lambda d: d.select("k"))
+        return df.select("k")
+
+    with pytest.raises(StateMoved):
+        s.run(_df(spark, [(7, "loser", "y", "c")]), ["a"], overtaken)
+    assert s.version() == 2 and sorted(r.k for r in s.output().collect()) == [1, 5] and sorted(r.k for r in s.read().collect()) == [1, 5]
+    with pytest.raises(StateMoved):
+        s.commit(_df(spark, [(777, "a", "b", "c")]).withColumn("content_hash", content_hash("a")), after=1)
+    assert sorted(r.k for r in s.read(2).collect()) == [1, 5] and s.vacuum() == []
+
+
+def test_many_runs_merge_their_segments(spark, tmp_path):
+    s = IncrementalState(spark, str(tmp_path / "s"), ["k"])
+    for i in range(11):
+        s.run(_df(spark, [(0, str(i), "", ""), (i, "x" if i else str(i), "", "")]), ["a"], lambda df: df.select("k", "a", "change"))
+    assert len(s._at(s.version())["state"]) < 9 and s.read().count() == 11
+    assert sorted((r.a, r.change) for r in s.output().where("k = 0").collect()) == sorted((str(i), "changed" if i else "new") for i in range(11))
+
+
+def test_two_forms_of_a_key_come_out_once(spark, tmp_path):
+    """Of a key with two contents one counts, and a run over the same rows takes neither again."""
+    s = IncrementalState(spark, str(tmp_path / "s"), ["k"])
+    rows = _df(spark, [(1, "x", "y", "c"), (1, "z", "y", "c"), (1, "z", "y", "c")])
+    for _ in range(2):
+        s.run(rows, ["a"], lambda df: df.select("k", "a"))
+    assert s.output().count() == 1
+
+
+def test_p3_found_needs_the_hashes(spark, monkeypatch):
+    """Rows that a past run saw in an earlier form are found by their hash alone."""
+    if not DATA.exists():
+        pytest.skip("no test tables here")
+    from loomline import queries
+    from loomline.operators import incremental
+
+    whole = queries.p3_found(spark, str(DATA)).count()
+    monkeypatch.setattr(incremental, "content_hash", lambda *c: F.lit(1).cast("long"))
+    assert queries.p3_found(spark, str(DATA)).count() < whole
 
 
 def test_empty(spark, tmp_path):
