@@ -1,14 +1,13 @@
 """Top N items within every group, with a safe threshold from per-group score histograms.
 
-1. One pass finds the range of scores and the number of rows; a second one the hot groups, those with more than
-   1/hot_share of all rows: fewer than hot_share of them, whatever the data.
-2. For hot groups a histogram over `bins` equal score ranges is aggregated on the map side. A cell holds a bitmap
-   of hashed item keys; the number of its bits never exceeds the number of different items in the cell, so
-   repeated rows can't raise it. From the top down, the first cell at which the sum reaches N gives a lower
-   threshold with at least N different items at or above it.
-3. Rows of hot groups below their threshold go. The rest, N and a cell's content at least for a hot group, is
-   ranked exactly with the tie keys. dense_rank gives repeated rows one rank; Spark cuts each task's share to
-   N ranks before the shuffle.
+1. One pass finds the range of scores and the number of rows of each group, a table of one row per group.
+2. Rows and ranges are brought together by group; a group with more than 1/parts of all rows is split into parts in
+   proportion to its count, by the hash of the item. A histogram over `bins` equal parts of the group's own range is
+   aggregated on the map side. A cell holds bitmaps of hashed items; the number of their bits never exceeds the number
+   of different items in the cell, so repeated rows can't raise it. From the top down, the first cell at which the
+   sum reaches N gives a lower threshold with at least N different items at or above it.
+3. Rows below their group's threshold go, by the same partitioning. The rest, N and a cell's content at least for a
+   group, loses its repeated rows and is ranked exactly with the tie keys.
 """
 
 from __future__ import annotations
@@ -16,37 +15,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.skew import PARTS, copied, salted
+from loomline.session import written
 
-def thresholds(rows: DataFrame, item: list[str], n: int, bins: int, hot_share: int) -> DataFrame:
-    """(__hot, __floor): for each hot group a score with at least n different items at or above it.
 
-    rows: __g, __s and the columns of item.
+def ranges(rows: DataFrame) -> DataFrame:
+    """(__g, __low, __high, __n): the range of scores of each group, and its rows."""
+    return rows.groupBy("__g").agg(F.min("__s").cast("double").alias("__low"), F.max("__s").cast("double").alias("__high"), F.count(F.lit(1)).alias("__n"))
+
+
+def candidates(rows: DataFrame, item: list[str], n: int, bins: int, parts: int) -> DataFrame:
+    """The different rows at or above the threshold of their group, at least n of each group that has as many.
+
+    rows: __g, __s (long) and the columns of item, without nulls.
     """
-    low, high, total = rows.agg(F.min("__s"), F.max("__s"), F.count(F.lit(1))).first()
-    hot = rows.groupBy("__g").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(n, (total or 0) // hot_share)).select(F.col("__g").alias("__hot"))
-    width = max(1, -(-(high - low + 1) // bins)) if total else 1
-    cell = F.expr(f"cast((__s - {low or 0}L) div {width}L as int)")
-    mask = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(f'`{c}`' for c in item)}), 64) as int))")
+    known = written(ranges(rows), "ranges")
+    total = max(1, known.agg(F.sum("__n")).first()[0] or 0)
+    many = F.least(F.ceil(F.col("__n") * F.lit(parts) / F.lit(total)), F.col("__n")).cast("int")
+    hot = known.where(F.col("__n") > max(1, total // parts)).select("__g", many.alias("__salts"))  # fewer than `parts` groups
+    placed = salted(rows, hot, ["__g"], item, parts)
+    # in doubles, which can't overflow and keep the order of scores: a cell is never above that of a higher score
+    cell = F.when(F.col("__high") > F.col("__low"), F.floor((F.col("__s").cast("double") - F.col("__low")) * bins / (F.col("__high") - F.col("__low")))).otherwise(F.lit(0)).cast("int")
+    sign = F.xxhash64(F.lit(1), *item)
+    words = max(1, -(-n // 16))  # enough bits for n items in one cell
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(sign, F.lit(64)).cast("int"))
     cells = (
-        rows.join(F.broadcast(hot), F.col("__g") == F.col("__hot"))  # fewer than hot_share rows
-        .groupBy("__hot", cell.alias("__cell"))
-        .agg(F.bit_count(F.bit_or(mask)).alias("__least"))
+        placed.join(copied(known, hot, ["__g"]), ["__g", "__salt"])
+        .groupBy("__g", cell.alias("__cell"), F.pmod(F.shiftright(sign, 6), F.lit(words)).alias("__word"))
+        .agg(F.bit_or(bit).alias("__bits"))
+        .groupBy("__g", "__cell")
+        .agg(F.sum(F.bit_count("__bits")).alias("__least"))
     )
-    down = Window.partitionBy("__hot").orderBy(F.desc("__cell")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = cells.select("__hot", "__cell", F.sum("__least").over(down).alias("__so_far")).where(F.col("__so_far") >= n)
-    return reached.groupBy("__hot").agg((F.max("__cell").cast("long") * F.lit(width) + F.lit(low or 0)).alias("__floor"))
+    down = Window.partitionBy("__g").orderBy(F.desc("__cell")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most bins + 1 cells
+    reached = cells.select("__g", "__cell", F.sum("__least").over(down).alias("__so_far")).where(F.col("__so_far") >= n)
+    floors = known.join(reached.groupBy("__g").agg(F.max("__cell").alias("__floor")), "__g", "left")
+    above = placed.join(copied(floors, hot, ["__g"]), ["__g", "__salt"]).where(F.col("__floor").isNull() | (cell >= F.col("__floor")))
+    return above.select("__g", "__s", *item).distinct()
 
 
-def top_n(rows: DataFrame, group: str, score: str, item: list[str], n: int, bins: int = 1024, hot_share: int = 10_000) -> DataFrame:
+def top_n(rows: DataFrame, group: str, score: str, item: list[str], n: int, bins: int = 1024, parts: int = PARTS) -> DataFrame:
     """(group, score, item, rank): the n items of each group with the highest score, ties by ascending item; rank
     counts from 1.
 
     score: an integer column. Rows with a null group, score or item are no candidates. Repeated rows count once.
     Other columns of rows are dropped, whatever their names. An empty table gives an empty result.
     """
-    rows = rows.select(F.col(group).alias("__g"), F.col(score).alias("__s"), *item).where(" and ".join(f"`{c}` is not null" for c in ("__g", "__s", *item)))
-    floors = thresholds(rows, item, n, bins, hot_share)
-    above = rows.join(F.broadcast(floors), F.col("__g") == F.col("__hot"), "left").where(F.col("__floor").isNull() | (F.col("__s") >= F.col("__floor")))
+    rows = rows.select(F.col(group).alias("__g"), F.col(score).cast("long").alias("__s"), *item).where(" and ".join(f"`{c}` is not null" for c in ("__g", "__s", *item)))
     order = Window.partitionBy("__g").orderBy(F.desc("__s"), *[F.asc(c) for c in item])
-    ranked = above.select("__g", "__s", *item, F.dense_rank().over(order).alias("__rank")).where(F.col("__rank") <= n)
-    return ranked.dropDuplicates(["__g", *item, "__rank"]).select(F.col("__g").alias(group), F.col("__s").alias(score), *item, F.col("__rank").alias("rank"))
+    ranked = candidates(rows, item, n, bins, parts).select("*", F.row_number().over(order).alias("__rank")).where(F.col("__rank") <= n)
+    return ranked.select(F.col("__g").alias(group), F.col("__s").alias(score), *item, F.col("__rank").alias("rank"))
