@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import ast
-import json
 import sys
-import warnings
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm.batches import slices
 from loomline.llm.syntax.core import Fault
 from loomline.llm.syntax.json_lang import parse_json
 from loomline.llm.syntax.python_lang import parse_python
@@ -22,31 +20,9 @@ PARSERS: dict[str, Callable[[str], list[Fault]]] = {"sql": parse_sql, "py": pars
 _FAULT = "array<struct<line:int,message:string>>"
 
 
-def _strict_number(text: str) -> float:
-    raise ValueError(text)
-
-
-def confirmed(language: str, text: str) -> bool:
-    """Whether the language's own parser agrees that the text is faulty; where none is at hand, True."""
-    try:
-        if language == "py":
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-        elif language == "json":
-            json.loads(text, parse_constant=_strict_number)
-        else:
-            return True
-    except RecursionError:
-        return language == "json"  # Python's parser has accepted the text by then: only its tree is too deep
-    except (SyntaxError, ValueError, MemoryError):
-        return True
-    return False
-
-
 def faults_of(language: str, text: str) -> list[Fault]:
-    found = PARSERS[language](text)
-    return found if found and confirmed(language, text) else []
+    """All faults of a text in order of place; none if it parses."""
+    return PARSERS[language](text)
 
 
 def language_of(path: Column) -> Column:
@@ -68,7 +44,7 @@ def check_files(files: DataFrame, path: str, body: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 8000))
         kind = pa.list_(pa.struct([("line", pa.int32()), ("message", pa.string())]))
-        for b in batches:
+        for b in slices(batches, 3):
             found = [[{"line": f.line, "message": f.message} for f in faults_of(lang, text)] for lang, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, kind)], ["path", "repository", "language", "faults"])
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
-@dataclass(frozen=True, slots=True)
 class Token:
-    kind: str
-    text: str
-    pos: int
-    up: str = ""
+    __slots__ = ("kind", "pos", "text", "up")
+
+    def __init__(self, kind: str, text: str, pos: int, up: str = ""):
+        self.kind, self.text, self.pos, self.up = kind, text, pos, up
 
 
 @dataclass(frozen=True)
@@ -29,6 +28,7 @@ class Reader:
         self.source, self.tokens, self.at = source, tokens, 0
         self.faults: list[Fault] = []
         self.far, self.far_message = 0, ""
+        self.known: dict[tuple, int] = {}
 
     @property
     def now(self) -> Token:
@@ -50,8 +50,25 @@ class Reader:
         """Try a rule; if it stops, go back."""
         start = self.at
         try:
-            rule(*args)
+            self.once(rule, *args)
             return True
         except Stop:
             self.at = start
             return False
+
+    def once(self, rule, *args) -> None:
+        """Apply a rule, whose outcome depends on the place alone: where it was tried before, that outcome is taken. So
+        the time is linear in the text, however deep alternatives are nested."""
+        key = (getattr(rule, "__func__", rule), self.at, args)
+        end = self.known.get(key)
+        if end is None:
+            try:
+                rule(*args)
+            except Stop:
+                self.known[key] = -1
+                raise
+            self.known[key] = self.at
+        elif end < 0:
+            raise Stop
+        else:
+            self.at = end

@@ -8,6 +8,7 @@ from loomline.llm.syntax.core import Fault, Reader, Stop, Token
 
 _TOKEN = re.compile(
     r"""(?P<space>[ \t\r\n  - 　]+|--(?:\\\n|[^\r\n])*)
+|(?P<plain>[^\W\d]\w*(?!['"\w]))
 |(?P<open>/\*(?!\+))
 |(?P<hint>/\*\+)
 |(?P<place>\{\{\s*\w+\s*\}\})
@@ -60,29 +61,36 @@ def _tokens(text: str) -> tuple[list[Token], int | None]:
             at = end
             continue
         if kind != "space":
-            out.append(Token(kind, m.group(), at, m.group().upper() if kind == "word" else m.group()))
+            said = m.group()
+            if kind == "plain" or kind == "word":
+                out.append(Token("word", said, at, said.upper()))
+            else:
+                out.append(Token(kind, said, at, said))
         at = m.end()
     out.append(Token("end", "", len(text), ""))
     return out, open_at
 
 
+_SETTING = re.compile(r"[a-zA-Z_\d\\.:]+(?:\s*=[^;]*)?")
+
+
 class _Sql(Reader):
     def __init__(self, source: str, tokens: list[Token]):
         super().__init__(source, tokens)
         self._no_query: set[int] = set()
-        self._depth = 0
+        self._ends: dict[int, int] = {}
 
     # words and marks
 
     def is_(self, *ups: str) -> bool:
-        t = self.now
+        t = self.tokens[self.at]
         return t.up in ups and t.kind in ("word", "mark")
 
     def ahead(self, *ups: str) -> bool:
-        return all(self.peek(k).up == u and self.peek(k).kind in ("word", "mark") for k, u in enumerate(ups))
+        return self.tokens[self.at].up == ups[0] and all(self.peek(k).up == u and self.peek(k).kind in ("word", "mark") for k, u in enumerate(ups))
 
     def take(self, *ups: str) -> bool:
-        if self.ahead(*ups):
+        if self.tokens[self.at].up == ups[0] and self.ahead(*ups):
             self.at += len(ups)
             return True
         return False
@@ -168,8 +176,8 @@ class _Sql(Reader):
         rule = {
             "CREATE": self.create, "REPLACE": self.create, "INSERT": self.with_ctes, "UPDATE": self.update, "DELETE": self.delete, "MERGE": self.merge, "DROP": self.drop,
             "TRUNCATE": self.truncate, "ALTER": self.alter, "SHOW": self.show, "DESCRIBE": self.describe, "DESC": self.describe, "ANALYZE": self.analyze, "REFRESH": self.refresh, "MSCK": self.repair,
-            "USE": self.use, "SET": self.anything, "RESET": self.anything, "ADD": self.anything, "LIST": self.anything, "CACHE": self.cache, "UNCACHE": self.drop, "CLEAR": self.clear, "EXPLAIN": self.explain, "LOAD": self.load, "COMMENT": self.comment_on,
-            "CALL": self.loose, "DECLARE": self.loose, "EXECUTE": self.loose, "GRANT": self.loose, "REVOKE": self.loose, "REPAIR": self.repair,
+            "USE": self.use, "SET": self.set_, "RESET": self.reset, "ADD": self.anything, "LIST": self.anything, "CACHE": self.cache, "UNCACHE": self.drop, "CLEAR": self.clear, "EXPLAIN": self.explain, "LOAD": self.load, "COMMENT": self.comment_on,
+            "CALL": self.call_procedure, "DECLARE": self.declare, "EXECUTE": self.execute, "GRANT": self.refused, "REVOKE": self.refused, "REPAIR": self.repair,
         }.get(self.now.up if self.now.kind == "word" else "")
         if rule:
             rule()
@@ -180,20 +188,97 @@ class _Sql(Reader):
         while not self.is_(";") and self.now.kind != "end":
             self.at += 1
 
-    def loose(self) -> None:
-        """Commands with many forms: names, numbers, strings, balanced brackets."""
-        self.at += 1
-        depth = words = 0
-        while self.now.kind != "end" and not (self.is_(";") and not depth):
-            if self.now.kind == "bad":
-                raise self.stop("a word")
-            depth += self.is_("(") - self.is_(")")
-            if depth < 0:
-                raise self.stop("no ')'")
+    def refused(self) -> None:
+        """Commands of other systems, which Spark takes only to refuse them."""
+        raise self.stop("a command that Spark has")
+
+    def call_procedure(self) -> None:
+        self.need("CALL")
+        self.table_name()
+        self.need("(")
+        if not self.take(")"):
+            self.some(self.argument)
+            self.need(")")
+
+    def declare(self) -> None:
+        self.need("DECLARE")
+        self.take("OR", "REPLACE")
+        if self.is_("VARIABLE", "VAR") and self.peek().kind in ("word", "quoted") and self.peek().up not in ("DEFAULT",):
+            self.at += 1
+        self.some(self.table_name)
+        if not self.is_("DEFAULT", "="):
+            self.data_type()
+        if self.is_("DEFAULT", "="):
+            self.at += 1
+            self.expression()
+
+    def execute(self) -> None:
+        self.need("EXECUTE", "IMMEDIATE")
+        self.expression()
+        if self.take("INTO"):
+            self.some(self.names)
+        if self.take("USING"):
+            if not (self.is_("(") and self.attempt(self.named_in_brackets) and self.ends()):
+                self.some(self.named)
+
+    def named_in_brackets(self) -> None:
+        self.need("(")
+        self.some(self.named)
+        self.need(")")
+
+    def set_(self) -> None:
+        """SET, SET key, SET key = value, SET -v, SET TIME ZONE, SET VARIABLE; keys are of a few signs or in back quotes."""
+        self.need("SET")
+        start = self.now.pos
+        if self.is_("TIME") and self.peek().up == "ZONE":
+            self.at += 2
+            if self.is_("LOCAL") or self.now.kind == "string":
+                self.at += 1
+            else:
+                self.need("INTERVAL")
+                self.binary(_UNARY)
+                self.name()
+                if self.take("TO"):
+                    self.name()
+        elif self.is_("VARIABLE", "VAR") and self.peek().text not in ("=", ".") and self.peek().kind != "end" and self.peek().text != ";":
+            self.at += 1
+            if self.is_("("):
+                self.name_list()
+                self.need("=", "(")
+                self.query()
+                self.need(")")
+            else:
+                self.assignments_of_set()
+        elif self.now.kind == "quoted":
             self.at += 1
-            words += 1
-        if depth or not words:
-            raise self.stop("more")
+            if not self.ends():
+                self.need("=")
+                self.anything()
+        else:
+            first = self.at
+            self.anything()
+            said = self.source[start : self.now.pos].strip()
+            if said and said != "-v" and not _SETTING.fullmatch(said):
+                self.at = first
+                raise self.stop("a key and '='")
+
+    def assignments_of_set(self) -> None:
+        def one() -> None:
+            self.names()
+            self.need("=")
+            self.expression()
+
+        self.some(one)
+
+    def reset(self) -> None:
+        self.need("RESET")
+        start, first = self.now.pos, self.at
+        quoted = self.now.kind == "quoted"
+        self.anything()
+        said = self.source[start : self.now.pos].strip()
+        if not quoted and re.search(r"[\s`]", said):
+            self.at = first
+            raise self.stop("one key")
 
     def ends(self) -> bool:
         return self.is_(";") or self.now.kind == "end"
@@ -702,10 +787,63 @@ class _Sql(Reader):
                     self.string()
             return
         if self.is_("FUNCTION"):
-            self.loose()
+            self.create_function()
             return
         raise self.stop("TABLE or VIEW")
 
+    def create_function(self) -> None:
+        """A class with its resources, or parameters and a body in SQL."""
+        self.need("FUNCTION")
+        self.if_not_exists()
+        self.table_name()
+        if self.take("AS"):
+            self.string()
+            if self.take("USING"):
+                self.some(self.resource)
+            return
+        self.need("(")
+        if not self.take(")"):
+            self.some(self.parameter)
+            self.need(")")
+        if self.take("RETURNS"):
+            if self.is_("TABLE") and self.peek().text != "<":
+                self.at += 1
+                if self.take("("):
+                    self.some(self.parameter)
+                    self.need(")")
+            else:
+                self.data_type()
+        while not self.is_("RETURN"):
+            self.characteristic()
+        self.at += 1
+        if not (self.attempt(self.query) and self.ends()):
+            self.expression()
+
+    def resource(self) -> None:
+        if not self.is_("JAR", "FILE", "ARCHIVE"):
+            raise self.stop("JAR, FILE or ARCHIVE")
+        self.at += 1
+        self.string()
+
+    def parameter(self) -> None:
+        self.name()
+        self.data_type()
+        while not self.is_(",", ")"):
+            if self.take("DEFAULT"):
+                self.expression()
+            elif self.take("COMMENT"):
+                self.string()
+            else:
+                self.need("NOT", "NULL")
+
+    def characteristic(self) -> None:
+        if self.take("LANGUAGE"):
+            self.name()
+        elif self.take("COMMENT"):
+            self.string()
+        elif not (self.take("NOT", "DETERMINISTIC") or self.take("DETERMINISTIC") or self.take("CONTAINS", "SQL") or self.take("READS", "SQL", "DATA") or self.take("SQL", "SECURITY", "DEFINER") or self.take("SQL", "SECURITY", "INVOKER")):
+            raise self.stop("RETURN")
+
     def if_not_exists(self) -> None:
         if self.ahead("IF", "NOT", "EXISTS"):
             self.at += 3
@@ -794,12 +932,31 @@ class _Sql(Reader):
                 self.string()
             elif self.take("STORED", "AS") or self.take("DEFAULT", "COLLATION"):
                 self.name()
-            elif self.take("ROW", "FORMAT"):
-                while not self.is_("STORED", "LOCATION", "AS", "TBLPROPERTIES", ";") and self.now.kind != "end":
-                    self.at += 1
+            elif self.ahead("ROW", "FORMAT"):
+                self.row_format()
             else:
                 return
 
+    def row_format(self) -> None:
+        """SERDE 'class' [WITH SERDEPROPERTIES (...)], or DELIMITED with its terminators."""
+        if not self.take("ROW", "FORMAT"):
+            return
+        if self.take("SERDE"):
+            self.string()
+            if self.take("WITH", "SERDEPROPERTIES"):
+                self.properties()
+            return
+        self.need("DELIMITED")
+        if self.take("FIELDS", "TERMINATED", "BY"):
+            self.string()
+            if self.take("ESCAPED", "BY"):
+                self.string()
+        for words in (("COLLECTION", "ITEMS"), ("MAP", "KEYS"), ("LINES",)):
+            if self.take(*words, "TERMINATED", "BY"):
+                self.string()
+        if self.take("NULL", "DEFINED", "AS"):
+            self.string()
+
     def fail(self, wanted: str) -> None:
         raise self.stop(wanted)
 
@@ -810,8 +967,7 @@ class _Sql(Reader):
 
     def property_(self) -> None:
         self.string() if self.now.kind == "string" else self.names()
-        self.take("=") or self.take("==")
-        if not (self.is_(",") or self.is_(")")):
+        if self.take("=") or self.take("==") or not (self.is_(",") or self.is_(")")):
             self.expression()
 
     def partition_spec(self) -> None:
@@ -1072,10 +1228,39 @@ class _Sql(Reader):
             self.at += 1
             self.table_name()
         elif self.is_("MAP", "REDUCE"):
-            self.loose()
+            self.at += 1
+            self.some(self.expression)
+            self.through_script()
+            if self.is_("FROM"):
+                self.from_clause()
         else:
             raise self.stop("a query")
 
+    def through_script(self) -> None:
+        """[ROW FORMAT ...] USING 'command' [AS columns] [ROW FORMAT ...]"""
+        self.row_format()
+        self.need("USING")
+        self.string()
+        if self.take("AS"):
+            if self.is_("("):
+                self.need("(")
+                self.some(self.maybe_typed)
+                self.need(")")
+            else:
+                self.some(self.maybe_typed)
+        self.row_format()
+
+    def transform(self) -> None:
+        self.need("SELECT", "TRANSFORM", "(")
+        self.some(self.expression)
+        self.need(")")
+        self.through_script()
+
+    def maybe_typed(self) -> None:
+        self.name()
+        if not (self.is_(",", ")", "FROM", "ROW") or self.ends()):
+            self.data_type()
+
     def values(self) -> None:
         self.need("VALUES")
         self.some(self.expression)
@@ -1098,7 +1283,8 @@ class _Sql(Reader):
         self.some(self.named)
 
     def select_core(self) -> None:
-        self.select_list()
+        if not (self.ahead("SELECT", "TRANSFORM", "(") and self.attempt(self.transform)):
+            self.select_list()
         if self.is_("FROM"):
             self.from_clause()
         while self.is_("LATERAL") and self.ahead("LATERAL", "VIEW"):
@@ -1431,6 +1617,22 @@ class _Sql(Reader):
         self.binary(0)
 
     def binary(self, least: int) -> None:
+        """Once for each place and power, as `once` does for rules that are tried."""
+        key = self.at << 7 | least
+        end = self._ends.get(key)
+        if end is None:
+            try:
+                self._binary(least)
+            except Stop:
+                self._ends[key] = -1
+                raise
+            self._ends[key] = self.at
+        elif end < 0:
+            raise Stop
+        else:
+            self.at = end
+
+    def _binary(self, least: int) -> None:
         """Precedence climbing. An operator that is a word and whose right side fails is left for others to use."""
         t = self.now
         if (t.up == "NOT" and t.kind == "word" or t.text == "!") and least <= _NOT:
