@@ -2,12 +2,14 @@
 
 The records of a source, in a fixed pseudo-random order, form a tape that is read up to max_repeats times. Where
 a record begins on its tape comes from running sums within hashed buckets and the sums of the buckets before, so
-a source of any size is spread over many tasks. The total is the greatest one at which every source that has
-records can still give its share (shares of sources without records go to the others in proportion).
-
-The tapes are cut into blocks of equal size. Block i of a source with weight w is released at slot floor(i / w)
-and due at slot ceil((i + 1) / w); in each slot the released block that is due first goes out (earliest deadline
-first, Pfair). At every slot each source is then less than one block away from its share.
+a source of any size is spread over many tasks. The tapes are cut into blocks of equal size.
+
+The schedule decides what the mixture holds. Block k of a source with weight w is released at slot floor(k / w) and
+due at slot ceil((k + 1) / w); in each slot the released block that is due first goes out (earliest deadline first,
+Pfair), so that at every slot each source is less than one block away from its share. The mixture ends with the first
+block that its source can't give: at the greatest size at which every source that has records holds its share (shares
+of sources without records go to the others in proportion). Where a total is asked for, a source that is used up
+leaves, the others go on with the weights that remain, and the mixture ends with the block that reaches the total.
 """
 
 from __future__ import annotations
@@ -19,56 +21,56 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Blocks of the whole mixture, and rows aimed at in a bucket.
-BLOCKS, BUCKET_ROWS = 10_000, 20_000
+#: Most blocks of all tapes together, which the driver schedules, and rows aimed at in a bucket.
+BLOCKS, BUCKET_ROWS = 50_000, 20_000
 
 
 @dataclass(frozen=True)
 class Source:
     name: str
     weight: float
-    quota: float
     blocks: int
 
 
-def quotas(tokens: dict[str, int], targets: list[tuple[str, float, int]], total: float | None = None) -> dict[str, tuple[float, float]]:
-    """(weight, quota) of each source that has tokens, a positive target and repeats.
-
-    total: what is asked for; None: the most at which all shares hold. Beyond that, sources that are used up
-    stay at their cap and the others share the rest in proportion.
-    """
+def live_sources(tokens: dict[str, int], targets: list[tuple[str, float, int]]) -> dict[str, tuple[float, int]]:
+    """(weight, tokens of all repeats) of each source that has tokens, a positive target and repeats."""
     live = {s: (w, tokens.get(s, 0) * r) for s, w, r in targets if s is not None and w and w > 0 and r and r > 0 and tokens.get(s, 0) > 0}
-    if not live:
-        return {}
     whole = sum(w for w, _ in live.values())
-    exact = min(cap / (w / whole) for w, cap in live.values())
-    rest, open_, got = exact if total is None else float(total), dict(live), {}
+    return {s: (w / whole, cap) for s, (w, cap) in live.items()}
+
+
+def pfair(sources: list[Source], slots: int | None = None) -> list[tuple[int, str, int]]:
+    """(slot, source, block) by earliest deadline among the released blocks.
+
+    slots None: until a block is due that its source doesn't have. Otherwise until so many slots are filled or no
+    source has blocks left; a source without further blocks leaves, and at that slot the others begin anew with the
+    weights that remain.
+    """
+    out: list[tuple[int, str, int]] = []
+    used = dict.fromkeys((s.name for s in sources), 0)
+    open_ = [s for s in sources if s.blocks]
     while open_:
-        weights = sum(w for w, _ in open_.values())
-        full = {s for s, (w, cap) in open_.items() if rest * w / weights > cap * (1 + 1e-12)}
-        if not full:
-            got |= {s: min(rest * w / weights, cap) for s, (w, cap) in open_.items()}
-            break
-        for s in full:
-            got[s] = float(open_.pop(s)[1])
-            rest -= got[s]
-    size = sum(got.values())
-    return {s: (q / size, q) for s, q in got.items()}
-
-
-def pfair(sources: list[Source]) -> list[tuple[int, str, int]]:
-    """(slot, source, block) by earliest deadline among the released blocks."""
-    slots = sum(s.blocks for s in sources)
-    waiting, ready, out = [(0, i, 0) for i, s in enumerate(sources) if s.blocks], [], []
-    heapq.heapify(waiting)
-    for slot in range(slots):
-        while waiting and (waiting[0][0] <= slot or not ready):
-            _, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (math.ceil((k + 1) / sources[i].weight - 1e-9), sources[i].name, i, k))
-        _, name, i, k = heapq.heappop(ready)
-        out.append((slot, name, k))
-        if k + 1 < sources[i].blocks:
-            heapq.heappush(waiting, (math.floor((k + 1) / sources[i].weight + 1e-9), i, k + 1))
+        whole, start = sum(s.weight for s in open_), len(out)
+        waiting = [(0, i, 0) for i in range(len(open_))]
+        ready: list[tuple[int, str, int, int]] = []
+        gone = None
+        while gone is None:
+            if slots is not None and len(out) >= slots:
+                return out
+            now = len(out) - start
+            while waiting and (waiting[0][0] <= now or not ready):
+                _, i, k = heapq.heappop(waiting)
+                heapq.heappush(ready, (math.ceil((k + 1) * whole / open_[i].weight - 1e-9), open_[i].name, i, k))
+            _, name, i, k = heapq.heappop(ready)
+            if used[name] >= open_[i].blocks:
+                gone = name
+                continue
+            out.append((len(out), name, used[name]))
+            used[name] += 1
+            heapq.heappush(waiting, (math.floor((k + 1) * whole / open_[i].weight + 1e-9), i, k + 1))
+        if slots is None:
+            return out
+        open_ = [s for s in open_ if s.name != gone]
     return out
 
 
@@ -77,7 +79,8 @@ def copies(docs: DataFrame, targets: DataFrame, blocks: int = BLOCKS, total: flo
 
     docs: doc_id, source, n_tokens, written (it is read several times). Records without tokens, without a source
     or of sources that targets doesn't name can't add to a share and stay out. targets: source, target_share,
-    max_repeats, a short list. A copy is in if its middle lies before the end of the source's quota.
+    max_repeats, a short list. A copy is in if the block in which it begins is scheduled. A block has the mean size of a
+    record, or more where the tapes would have more than `blocks` blocks.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "source", "n_tokens").where("source is not null and n_tokens > 0")
@@ -86,12 +89,13 @@ def copies(docs: DataFrame, targets: DataFrame, blocks: int = BLOCKS, total: flo
     docs = docs.where(F.col("source").isin(names)) if names else docs.where("false")
     sums = docs.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     have, rows = {r.source: r.t for r in sums}, sum(r.n for r in sums)
-    plan = quotas(have, wanted, total)
-    size = max(1.0, sum(q for _, q in plan.values()) / blocks)
-    sources = [Source(s, w, q, max(1, math.ceil(q / size))) for s, (w, q) in sorted(plan.items())]
+    live = live_sources(have, wanted)
+    size = max(1.0, sum(have.values()) / max(1, rows), sum(cap for _, cap in live.values()) / blocks)
+    sources = [Source(s, w, math.ceil(cap / size)) for s, (w, cap) in sorted(live.items())]
     repeats = {s: r for s, _, r in wanted}
-    slots = spark.createDataFrame(pfair(sources), "slot long, s string, b long")  # blocks + one per source
-    facts = spark.createDataFrame([(s.name, have[s.name], s.quota, repeats[s.name]) for s in sources], "s string, tape long, quota double, most int")
+    order = pfair(sources, None if total is None else math.ceil(total / size))  # at most `blocks` and one for each source
+    slots = spark.createDataFrame(order, "slot long, source string, block long")
+    facts = spark.createDataFrame([(s.name, have[s.name], repeats[s.name]) for s in sources], "s string, tape long, most int")
     buckets = max(1, -(-rows // BUCKET_ROWS))
     turn = F.xxhash64("doc_id")
     spread = docs.withColumn("turn", turn).withColumn("bucket", F.pmod(F.shiftright("turn", 7), F.lit(buckets)))
@@ -103,11 +107,9 @@ def copies(docs: DataFrame, targets: DataFrame, blocks: int = BLOCKS, total: flo
     placed = placed.join(held, (F.col("source") == F.col("hs")) & (F.col("bucket") == F.col("hb")))
     placed = placed.join(F.broadcast(facts), F.col("source") == F.col("s"))  # one row per target
     copy = placed.select(
-        "doc_id", "source", "n_tokens", "tape", "quota", (F.col("lead") + F.col("inside")).alias("at"), F.explode(F.expr("sequence(0, most - 1)")).alias("pass_no")
-    ).withColumn("begin", F.col("at") + F.col("pass_no") * F.col("tape"))
-    copy = copy.where(F.col("begin") + F.col("n_tokens") / 2 <= F.col("quota"))
-    copy = copy.withColumn("block", F.floor(F.col("begin") / F.lit(size)).cast("long"))
-    slots = slots.withColumnRenamed("b", "block").withColumnRenamed("s", "source")
+        "doc_id", "source", "n_tokens", "tape", (F.col("lead") + F.col("inside")).alias("at"), F.explode(F.expr("sequence(0, most - 1)")).alias("pass_no")
+    )
+    copy = copy.withColumn("block", F.floor((F.col("at") + F.col("pass_no") * F.col("tape")) / F.lit(size)).cast("long"))
     return copy.join(F.broadcast(slots), ["source", "block"]).select("doc_id", "source", "n_tokens", "pass_no", "block", "slot")
 
 
