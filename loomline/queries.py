@@ -12,7 +12,8 @@ from loomline.operators.references import orphans
 from loomline.operators.skew import salted_join
 from loomline.session import scratch_path, written
 from loomline.sources.tables import table
-from loomline.streaming.dedup import SeenMessages, drop_repeats, parquet_stream
+from loomline.streaming.dedup import SeenMessages, drop_repeats
+from loomline.streaming.replay import Replay
 
 TIME_COLUMNS = ("event_time", "updated_at", "loaded_at")
 
@@ -179,15 +180,37 @@ def _deliveries(rows: DataFrame) -> DataFrame:
     ).where("not no").drop("no")
 
 
+#: Micro-batches in which the table is streamed.
+MICRO_BATCHES = 5
+
+
+def _seen(spark: SparkSession, d: str) -> SeenMessages:
+    """All deliveries streamed in the order in which they were received, in micro-batches, the second half after a
+    restart: state, watermark and place in the stream are then taken from the shared folder."""
+    rows = _deliveries(table(spark, d, "ol_events")).where("k is not null and t is not null").withColumn("received", micros("received"))
+    replay, path = Replay(rows, "received", MICRO_BATCHES), scratch_path(spark, "p6")
+    for batches in (MICRO_BATCHES // 2, MICRO_BATCHES):
+        replay.release(batches)
+        drop_repeats(replay.stream(), SeenMessages(spark, path))
+    return SeenMessages(spark, path)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    store = SeenMessages(spark, scratch_path(spark, "p6"))
-    drop_repeats(_deliveries(parquet_stream(spark, f"{d}/ol_events.parquet")), store)
-    return store.dropped().select(F.col("id").alias("delivery_id"))
+    return _seen(spark, d).dropped().select(F.col("id").alias("delivery_id"))
+
+
+def p6_kept(spark: SparkSession, d: str) -> DataFrame:
+    """(delivery_id, met_late): the copy of each message that stays, and whether several micro-batches, an expired watermark
+    and deliveries later than that were met on the way."""
+    store = _seen(spark, d)
+    at = store.pointer()
+    met = F.lit(at["batch"] > 1 and at["left"] is not None and at["late"] > 0)
+    return store.kept().select(F.col("id").alias("delivery_id"), met.alias("met_late"))
 
 
 QUERIES = {
     "p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p3_found": p3_found, "p3_runs": p3_runs,
-    "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found,
+    "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_kept": p6_kept,
 }
 
 _NAME = "nullif(lower(trim({}, ' \t\r\n')), '')"
@@ -240,6 +263,7 @@ AND CASE r.inc WHEN 'event_time' THEN s.event_time WHEN 'updated_at' THEN s.upda
   FROM ol_events WHERE run_id IS NOT NULL AND event_type IS NOT NULL AND event_time IS NOT NULL)
 SELECT delivery_id FROM (SELECT delivery_id, row_number() OVER (PARTITION BY ru, ty, ts ORDER BY received_at, delivery_id) AS k FROM e) WHERE k > 1""",
 }
+ORACLE["p6_kept"] = ORACLE["p6_found"].replace("SELECT delivery_id FROM (SELECT", "SELECT delivery_id, true AS met_late FROM (SELECT").replace("k > 1", "k = 1")
 
 _CASES = f"""
 t AS (SELECT {_n('name')} AS name, inputs, outputs, depends_on, registered_at FROM tasks),

@@ -73,6 +73,20 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in (f.getPath().getName() for f in fs.listStatus(p)) if n[0] != ".") if fs.exists(p) else []
 
 
+def move(spark: SparkSession, path: str, target: str) -> None:
+    p, fs = _fs(spark, path)
+    t = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs.mkdirs(t.getParent())
+    if not fs.rename(p, t):
+        raise OSError(f"{path} can't be moved to {target}")
+
+
+def set_time(spark: SparkSession, path: str, millis: int) -> None:
+    """Set the time of last change, where the file system keeps it."""
+    p, fs = _fs(spark, path)
+    fs.setTimes(p, millis, -1)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p, fs = _fs(spark, path)
     return fs.exists(p)

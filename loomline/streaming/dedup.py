@@ -1,25 +1,35 @@
 """Messages delivered more than once: exactly one copy of each stays.
 
-A stream of deliveries is taken in micro-batches. The state holds, for each message whose event time is not
-older than the watermark, the delivery that stays: the one received first, of equal ones that with the smallest
-id. A batch is merged with the state by a partial and a final aggregation on the message, so a message with very
-many copies is reduced before it is shuffled. Messages older than the watermark leave the state for an archive
-by day; deliveries that come later than that are looked up there, in the days they name. State, archive, output
-and watermark of a batch become visible together, by the swap of one pointer file that also holds the number of
-the batch: a batch that is run again after a failure changes nothing twice.
+A stream of deliveries is taken in micro-batches. The state holds, for each message, the delivery that stays: the one
+received first, of equal ones that with the smallest id. A batch is merged with what the state holds of its messages
+by a partial and a final aggregation on the message, so a message with very many copies is reduced before it is shuffled.
+
+State has a hot part, a list of segments that each batch adds to, and an archive in folders by span of the event time.
+Segments are merged when there are SEGMENTS of them or when the batch is no smaller than half of them: then messages
+older than the watermark leave for the archive. Deliveries older than what has left are looked up there, in the spans
+that they name. State, archive, output and watermark of a batch become visible together, by the swap of one pointer file
+that also holds the number of the batch: a batch that is run again after a failure changes nothing twice.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
+from loomline.functions.names import micros
 from loomline.sources.files import is_folder, read_text, remove, swap_text
 
 _ROW = ["k", "t", "received", "id"]
 DAY = 86_400_000_000
+#: Segments of the hot part that are merged at the latest; length of a span of the archive; spans that a look-up names one by
+#: one, beyond which it reads them all.
+SEGMENTS, SPAN, NAMED_SPANS = 8, 30 * DAY, 1000
+#: The folder of what stays hot, beside those of spans.
+HOT = -(2**62)
 
 
 def _first(rows: DataFrame) -> DataFrame:
@@ -28,66 +38,105 @@ def _first(rows: DataFrame) -> DataFrame:
     return rows.groupBy("k", "t").agg(first).select("k", "t", "f.received", "f.id")
 
 
+def _span() -> Column:
+    return F.floor(F.col("t") / SPAN).cast("long")
+
+
 class SeenMessages:
-    """Store of seen messages in a folder that all executors share."""
+    """Store of seen messages in a folder that all executors share.
 
-    def __init__(self, spark: SparkSession, path: str, delay_us: int = 7 * DAY):
-        self.spark, self.path, self.delay = spark, path.rstrip("/"), delay_us
+    delay_us: how much older than the newest event a message may be before it leaves the hot part. An event time counts
+    as new only up to slack_us after its delivery was received, so that a time far in the future can't move the watermark
+    past everything.
+    """
 
-    def _pointer(self) -> dict:
-        text = read_text(self.spark, f"{self.path}/pointer.json")
-        return json.loads(text) if text else {"batch": -1, "watermark": None, "batches": []}
+    def __init__(self, spark: SparkSession, path: str, delay_us: int = 7 * DAY, slack_us: int = DAY):
+        self.spark, self.path, self.delay, self.slack = spark, path.rstrip("/"), delay_us, slack_us
 
-    def _read(self, kind: str, batches: list[int]) -> DataFrame | None:
-        return self.spark.read.parquet(*[f"{self.path}/{kind}/b{b}" for b in batches]) if batches else None
+    def pointer(self) -> dict:
+        """batch: the last one merged; watermark; left: event times before this are in the archive; hot: [segment, rows];
+        late: deliveries so far that were looked up in the archive."""
+        text = read_text(self.spark, f"{self.path}/pointer.json")
+        return json.loads(text) if text else {"batch": -1, "watermark": None, "left": None, "hot": [], "late": 0}
+
+    def _hot(self, at: dict, schema: str) -> DataFrame | None:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n, _ in at["hot"]]) if at["hot"] else None
+
+    def _archive(self, at: dict, schema: str) -> DataFrame:
+        """All that has left the hot part, with span."""
+        every = self.spark.read.schema(f"{schema}, span long, batch long").parquet(f"{self.path}/merged")
+        return every.where((F.col("batch") <= at["batch"]) & (F.col("span") != HOT))
+
+    def _late(self, rows: DataFrame, at: dict, schema: str) -> tuple[DataFrame | None, int]:
+        """What the archive holds of the spans of late rows, and how many of these there are."""
+        if at["left"] is None:
+            return None, 0
+        spans = rows.where(F.col("t") < at["left"]).groupBy(_span().alias("span")).count().limit(NAMED_SPANS + 1).collect()
+        if not spans:
+            return None, 0
+        archive = self._archive(at, schema)
+        if len(spans) <= NAMED_SPANS:
+            archive = archive.where(F.col("span").isin([r.span for r in spans]))
+        return archive.select(*_ROW), sum(r["count"] for r in spans)
 
     def add(self, deliveries: DataFrame, batch: int) -> None:
         """Merge one batch. deliveries: k (identity of the message), t (event time, microseconds), received, id.
 
         Rows where k, t or id is null are no messages and are left alone.
         """
-        at = self._pointer()
+        at = self.pointer()
         if batch <= at["batch"]:
             return
-        spark, path = self.spark, f"{self.path}/{{}}/b{batch}"
+        spark = self.spark
         rows = deliveries.select(*_ROW).where("k is not null and t is not null and id is not null")
-        known = rows
-        if at["batches"]:
-            known = known.unionByName(self._read("hot", at["batches"][-1:]))
-            if at["watermark"] is not None:
-                late = rows.where(F.col("t") < at["watermark"])
-                days = [r.day for r in late.select(F.floor(F.col("t") / DAY).alias("day")).distinct().collect()]
-                if days:
-                    past = self._read("archive", at["batches"]).where(F.col("day").isin(days))
-                    past = past.join(late.select("k", "t").distinct(), ["k", "t"], "left_semi")
-                    known = known.unionByName(_first(past))  # the copy that stays so far, not those it replaced
-        newest = rows.agg(F.max("t")).first()[0]
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        hot = self._hot(at, schema)
+        late, n_late = self._late(rows, at, schema)
+        past = [p for p in (hot, late) if p is not None]
+        received = F.col("received") if isinstance(rows.schema["received"].dataType, LongType) else micros("received")
+        seen, made = Observation(), Observation()
+        known = observed = rows.observe(seen, F.max(F.when(received.isNotNull(), F.least("t", received + self.slack))).alias("newest"))
+        if past:
+            # the copy that stays so far, of the messages that this batch holds
+            mine = _first(reduce(DataFrame.unionByName, past).join(rows.select("k", "t").distinct(), ["k", "t"], "left_semi"))
+            known, observed = rows.unionByName(mine), observed.unionByName(mine)
+        kept_at = f"{self.path}/kept/b{batch}"
+        kept = _first(observed)
+        kept.observe(made, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(kept_at)
+        kept = spark.read.schema(schema).parquet(kept_at)
+        known.select("id").join(kept.select("id"), "id", "left_anti").distinct().write.mode("overwrite").parquet(f"{self.path}/dropped/batch={batch}")
+
+        newest, fresh, held = seen.get["newest"], made.get["n"], sum(n for _, n in at["hot"])
         mark = max((x for x in (at["watermark"], None if newest is None else newest - self.delay) if x is not None), default=None)
-        kept = _first(known)
-        kept.write.mode("overwrite").parquet(path.format("kept"))
-        kept = spark.read.schema(kept.schema).parquet(path.format("kept"))
-        known.select("id").join(kept.select("id"), "id", "left_anti").distinct().write.mode("overwrite").parquet(path.format("dropped"))
-        old = F.col("t") < mark if mark is not None else F.lit(False)
-        kept.where(~old).write.mode("overwrite").parquet(path.format("hot"))
-        kept.where(old).withColumn("day", F.floor(F.col("t") / DAY)).write.mode("overwrite").parquet(path.format("archive"))
-        swap_text(spark, f"{self.path}/pointer.json", json.dumps({"batch": batch, "watermark": mark, "batches": [*at["batches"], batch]}))
-        # what no reader of this version or the one before it needs
-        remove(spark, path.format("kept"))
-        for old_batch in at["batches"][-2:-1]:
-            remove(spark, f"{self.path}/hot/b{old_batch}")
+        left, segments = at["left"], [*at["hot"], [f"kept/b{batch}", fresh]]
+        if mark is not None and (len(segments) >= SEGMENTS or 2 * fresh >= held):
+            whole, stays = _first(hot.unionByName(kept)) if hot is not None else kept, Observation()
+            span = F.when(F.col("t") >= mark, F.lit(HOT)).otherwise(_span())
+            whole = whole.observe(stays, F.count_if(F.col("t") >= mark).alias("n")).withColumn("span", span)
+            whole.write.mode("overwrite").partitionBy("span").parquet(f"{self.path}/merged/batch={batch}")
+            n = stays.get["n"]
+            segments, left = [[f"merged/batch={batch}/span={HOT}", n]] if n else [], mark
+        swap_text(spark, f"{self.path}/pointer.json", json.dumps({"batch": batch, "watermark": mark, "left": left, "hot": segments, "late": at["late"] + n_late}))
+        for n in {n for n, _ in [*at["hot"], (f"kept/b{batch}", 0)]} - {n for n, _ in segments}:
+            remove(spark, f"{self.path}/{n}")
 
     def dropped(self) -> DataFrame:
         """(id) of every delivery that a better copy of its message has replaced."""
-        done = self._pointer()["batches"]
-        return self._read("dropped", done) if done else self.spark.createDataFrame([], "id long")
+        done = self.pointer()["batch"]
+        if done < 0:
+            return self.spark.createDataFrame([], "id long")
+        return self.spark.read.schema("id long, batch long").parquet(f"{self.path}/dropped").where(F.col("batch") <= done).select("id")
 
     def kept(self) -> DataFrame:
         """(k, t, received, id): the copy of each message that stays."""
-        done = self._pointer()["batches"]
-        if not done:
+        at = self.pointer()
+        if at["batch"] < 0:
             return self.spark.createDataFrame([], "k string, t long, received timestamp_ntz, id long")
-        parts = self._read("archive", done).select(*_ROW).unionByName(self._read("hot", done[-1:]))
-        return parts.join(self.dropped(), "id", "left_anti").dropDuplicates(["id"])
+        parts = [self.spark.read.parquet(f"{self.path}/{n}").select(*_ROW) for n, _ in at["hot"]]
+        if at["left"] is not None:
+            every = self.spark.read.parquet(f"{self.path}/merged")
+            parts.append(every.where((F.col("batch") <= at["batch"]) & (F.col("span") != HOT)).select(*_ROW))
+        return _first(reduce(DataFrame.unionByName, parts))
 
 
 def drop_repeats(stream: DataFrame, store: SeenMessages) -> None:

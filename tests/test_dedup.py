@@ -65,3 +65,30 @@ def test_empty(spark, tmp_path):
     store.add(spark.createDataFrame([], SCHEMA), 0)
     store.add(spark.createDataFrame([(None, None, None, 1, "")], SCHEMA), 1)
     assert store.dropped().count() == 0 and store.kept().count() == 0
+
+
+def test_event_times_in_the_future(spark, tmp_path):
+    """One event time far ahead leaves the watermark with the others."""
+    from datetime import datetime
+
+    at = datetime(2024, 1, 10)
+    t = 19732 * DAY
+    store = SeenMessages(spark, str(tmp_path / "s"), DAY)
+    store.add(spark.createDataFrame([("a", t, at, 1, ""), ("b", t - 3 * DAY, at, 2, ""), ("far", 9999 * 366 * DAY, at, 3, "")], SCHEMA), 0)
+    assert t - DAY <= store.pointer()["watermark"] <= t + DAY
+    store.add(spark.createDataFrame([("a", t, at, 4, ""), ("b", t - 3 * DAY, at, 5, ""), ("far", 9999 * 366 * DAY, None, 6, "")], SCHEMA), 1)
+    assert {r.id for r in store.dropped().collect()} == {4, 5, 6} and store.pointer()["late"] == 1
+
+
+def test_segments(spark, tmp_path):
+    """Small batches add segments to the hot part; they are merged, and what is old leaves, at the eighth."""
+    rows = [(f"m{i}", i // 20 * DAY, None if i % 7 else __import__("datetime").datetime(1970, 1, 1 + i // 20), i, "") for i in range(200)]
+    store = SeenMessages(spark, str(tmp_path / "s"), 2 * DAY)
+    store.add(spark.createDataFrame(rows, SCHEMA), 0)
+    most = 0
+    for b in range(1, 10):
+        store.add(spark.createDataFrame([(rows[b][0], rows[b][1], None, 1000 + b, ""), (f"n{b}", 9 * DAY, None, 2000 + b, "")], SCHEMA), b)
+        most = max(most, len(store.pointer()["hot"]))
+    assert most == 7 and sorted(r.id for r in store.dropped().collect()) == [1000 + b for b in range(1, 10)]
+    assert {r.id for r in store.kept().collect()} == set(range(200)) | {2000 + b for b in range(1, 10)}
+    assert any(n.name.startswith("span=") for n in (tmp_path / "s/merged").glob("*/*"))
