@@ -9,6 +9,10 @@ Each level of the recursion
   4. expands the fragments, with loops found either inside a partition or in the quotient.
 Leaves and branching nodes go in step 1, about a third of the rest in step 2, so a level has at most about
 two thirds of the rows of the one above, whatever the shape. At base_rows or fewer one task solves the rest.
+
+Full paths come by the same steps from the forest that is left when the nodes on loops lose their parents: a link of the
+quotient carries the names that its fragment took in, and expanding it puts them back. Descendants are read off the
+paths. Joins to a parent split the parents that have more than 1/PARTS of all children.
 """
 
 from __future__ import annotations
@@ -19,13 +23,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.operators.skew import copied, salted
 from loomline.session import written
 
 TREE, ON_LOOP, BELOW_LOOP = 0, 1, 2
-BASE_ROWS, PART_ROWS = 20_000, 200_000
+BASE_ROWS, PART_ROWS, PARTS = 256, 200_000, 1000
+#: Names that the one task of the last level puts out at once.
+CHUNK = 1_000_000
 
 _LINKS = "node string, parent string, w long, loop boolean"
 _RESULT = "node string, root string, dist long, kind int"
+_PATHS = "node string, path array<string>"
+_PIECE = "node string, top string, down array<string>, exit string, seg array<string>"
 _FRAGMENT = "node string, top string, hops long, down array<string>, exit string, exit_w long, kind int, loop boolean"
 
 
@@ -147,32 +156,98 @@ def _base(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"node": node, "root": root, "dist": dist, "kind": kind})
 
 
+def _fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """_contract for paths: seg are the names between a node and its parent; there are no loops."""
+    parts = [b for b in batches if len(b)]
+    if not parts:
+        return
+    rows = pd.concat(parts, ignore_index=True)
+    node, parent, seg = rows["node"].tolist(), [_none(p) for p in rows["parent"].tolist()], [list(x) for x in rows["seg"]]
+    up, order, _ = _chains(node, parent)
+    top, down = list(node), [[] for _ in node]
+    for i in order:
+        j = up[i]
+        if j >= 0:
+            top[i], down[i] = top[j], [*down[j], *seg[i], node[i]]
+    own = [j < 0 for j in up]
+    yield pd.DataFrame({"node": node, "top": top, "down": down, "exit": [p if o else None for p, o in zip(parent, own)], "seg": seg})
+
+
+def _base_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = [b for b in batches if len(b)]
+    if not parts:
+        return
+    rows = pd.concat(parts, ignore_index=True)
+    node, parent, seg = rows["node"].tolist(), [_none(p) for p in rows["parent"].tolist()], [list(x) for x in rows["seg"]]
+    up, order, _ = _chains(node, parent)
+    path: list[list[str]] = [[] for _ in node]
+    done, names = [], 0
+    for i in order:
+        path[i] = [*path[up[i]], *seg[i], node[i]] if up[i] >= 0 else [node[i]]
+        done.append(i)
+        names += len(path[i])
+        if names > CHUNK:
+            yield pd.DataFrame({"node": [node[k] for k in done], "path": [path[k] for k in done]})
+            done, names = [], 0
+    yield pd.DataFrame({"node": [node[k] for k in done], "path": [path[k] for k in done]})
+
+
+class _Level:
+    """One level of the recursion: leaves raked off, the rest placed for contraction."""
+
+    def __init__(self, t: DataFrame, rows: int, level: int, part_rows: int):
+        self.rows, spark = rows, t.sparkSession
+        # rake: one row for each parent, with its only child if it has just one
+        child = t.where("parent is not null").groupBy(F.col("parent").alias("q")).agg(F.min("node").alias("c0"), F.max("node").alias("c1"), F.count(F.lit(1)).alias("n"))
+        child = child.select("q", F.when(F.col("c0") == F.col("c1"), F.col("c0")).alias("only"), "n")
+        marked = written(t.join(child, t["node"] == child["q"], "left").select(*t.columns, F.col("q").isNotNull().alias("inner"), "only", "n"), "forest")
+        self.leaves = marked.where("not inner and parent is not null").select(*t.columns)
+        self.alone = marked.where("not inner and parent is null").select(*t.columns)
+        # fewer than PARTS parents
+        hot = marked.where(F.col("n") > max(1, rows // PARTS)).select("node", F.least(F.ceil(F.col("n") * PARTS / rows), F.col("n")).cast("int")).collect()
+        self.hot = spark.createDataFrame(hot, "parent string, __salts int") if hot else None
+        # contract: a parent goes to the partition of its only child where the child's turn is higher
+        turn = lambda c: F.xxhash64(F.col(c), F.lit(level))
+        place = F.when(turn("only") > turn("node"), F.col("only")).otherwise(F.col("node"))
+        self.placed = marked.where("inner").withColumn("place", place).repartition(max(2, -(-rows // part_rows)), "place").select(*t.columns)
+
+    def below(self, rows: DataFrame, parents: DataFrame) -> DataFrame:
+        """rows joined with the row of their parent; the children of a parent with many are spread."""
+        if self.hot is None:
+            return rows.join(parents, "parent")
+        return salted(rows, self.hot, ["parent"], ["node"], PARTS).join(copied(parents, self.hot, ["parent"]), ["parent", "__salt"]).drop("__salt")
+
+
+def _expand(t: DataFrame, level: int, base_rows: int, part_rows: int) -> DataFrame:
+    """t: (node, parent, seg), written, without loops; returns (node, path)."""
+    rows = t.count()
+    if rows <= base_rows:
+        return t.repartition(1).mapInPandas(_base_paths, _PATHS)
+    at = _Level(t, rows, level, part_rows)
+    frag = written(at.placed.mapInPandas(_fragments, _PIECE), "fragments")
+    tops = frag.where("node = top").select("node", F.col("exit").alias("parent"), "seg")
+    into = frag.select(F.col("node").alias("parent"), F.col("top").alias("vt"), "down")
+    joined = at.below(tops.where("parent is not null"), into).select("node", F.col("vt").alias("parent"), F.concat("down", "seg").alias("seg"))
+    quotient = written(joined.unionByName(tops.where("parent is null")), "quotient")
+    above = written(_expand(quotient, level + 1, base_rows, part_rows), "solved").select(F.col("node").alias("top"), "path")
+    body = written(frag.select("node", "top", "down").join(above, "top").select("node", F.concat("path", "down").alias("path")), "expanded")
+    fall = at.below(at.leaves, body.select(F.col("node").alias("parent"), "path")).select("node", F.concat("path", "seg", F.array("node")).alias("path"))
+    return body.unionByName(fall).unionByName(at.alone.select("node", F.array("node").alias("path")))
+
+
 def _solve(t: DataFrame, level: int, base_rows: int, part_rows: int) -> DataFrame:
     """t: (node, parent, w, loop), written; returns (node, root, dist, kind)."""
     rows = t.count()
     if rows <= base_rows:
         return t.repartition(1).mapInPandas(_base, _RESULT)
-    # rake: one row for each parent, with its only child if it has just one
-    child = t.where("parent is not null").groupBy(F.col("parent").alias("q")).agg(F.min("node").alias("c0"), F.max("node").alias("c1"))
-    child = child.select("q", F.when(F.col("c0") == F.col("c1"), F.col("c0")).alias("only"))
-    marked = written(t.join(child, t["node"] == child["q"], "left").select(*t.columns, F.col("q").isNotNull().alias("inner"), "only"), "forest")
-    inner, leaves = marked.where("inner"), marked.where("not inner and parent is not null")
-    alone = marked.where("not inner and parent is null").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("dist"), F.when(F.col("loop"), ON_LOOP).otherwise(TREE).alias("kind"))
-    # contract: a parent goes to the partition of its only child where the child's turn is higher
-    turn = lambda c: F.xxhash64(F.col(c), F.lit(level))
-    place = F.when(turn("only") > turn("node"), F.col("only")).otherwise(F.col("node"))
-    frag = written(
-        inner.withColumn("place", place).repartition(max(2, -(-rows // part_rows)), "place").drop("place", "inner", "only").mapInPandas(_contract, _FRAGMENT),
-        "fragments",
-    )
-    tops = frag.where("node = top").select(F.col("node").alias("n"), F.col("exit").alias("x"), F.col("exit_w").alias("xw"), F.col("loop").alias("lp"))
-    into = frag.select(F.col("node").alias("v"), F.col("top").alias("vt"), F.col("hops").alias("vh"), F.col("down").alias("vd"))
-    quotient = written(
-        tops.join(into, tops["x"] == into["v"], "left").select(
-            F.col("n").alias("node"), F.col("vt").alias("parent"), (F.col("xw") + F.coalesce("vh", F.lit(0))).cast("long").alias("w"), F.col("lp").alias("loop"), F.col("vd").alias("entry")
-        ),
-        "quotient",
-    )
+    at = _Level(t, rows, level, part_rows)
+    alone = at.alone.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("dist"), F.when(F.col("loop"), ON_LOOP).otherwise(TREE).alias("kind"))
+    frag = written(at.placed.mapInPandas(_contract, _FRAGMENT), "fragments")
+    tops = frag.where("node = top").select("node", F.col("exit").alias("parent"), F.col("exit_w").alias("w"), "loop")
+    into = frag.select(F.col("node").alias("parent"), F.col("top").alias("vt"), F.col("hops").alias("vh"), F.col("down").alias("vd"))
+    joined = at.below(tops.where("parent is not null"), into)
+    joined = joined.select("node", F.col("vt").alias("parent"), (F.col("w") + F.col("vh")).cast("long").alias("w"), "loop", F.col("vd").alias("entry"))
+    quotient = written(joined.unionByName(tops.where("parent is null"), allowMissingColumns=True), "quotient")
     above = written(_solve(quotient.select("node", "parent", "w", "loop"), level + 1, base_rows, part_rows), "solved")
     # expand: nodes between the entry of a loop into a fragment and the fragment's exit lie on that loop
     ring = above.where(F.col("kind") == ON_LOOP).select("node")
@@ -188,7 +263,7 @@ def _solve(t: DataFrame, level: int, base_rows: int, part_rows: int) -> DataFram
     body = own.join(up, "t").join(on_ring, own["node"] == on_ring["m"], "left").select("node", "root", (F.col("dist") + F.col("hops")).cast("long").alias("dist"), kind.cast("int").alias("kind"))
     body = written(body, "expanded")
     hang = body.select(F.col("node").alias("parent"), "root", "dist", F.col("kind").alias("pk"))
-    fall = leaves.join(hang, "parent").select(
+    fall = at.below(at.leaves, hang).select(
         "node", "root", (F.col("dist") + F.col("w")).cast("long").alias("dist"), F.when(F.col("pk") == TREE, TREE).otherwise(BELOW_LOOP).cast("int").alias("kind")
     )
     return body.unionByName(fall).unionByName(alone.select("node", "root", "dist", F.col("kind").cast("int").alias("kind")))
@@ -219,36 +294,22 @@ def hierarchy(edges: DataFrame, parent: str, child: str, base_rows: int = BASE_R
     return tree.unionByName(looped)
 
 
-def ancestors(edges: DataFrame, parent: str, child: str, base_rows: int = BASE_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
-    """(node, ancestor, distance) of each node and each of its ancestors: read by ancestor, all descendants.
+def paths(edges: DataFrame, parent: str, child: str, base_rows: int = BASE_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    """(node, path) with path the names from the root to the node.
 
-    On a loop the links between nodes of the loop are cut, so that a node below a loop has its ancestors up to
-    and with the first node on the loop. The output has as many rows as the sum of all depths; pairs double
-    their reach in each round, so a depth of D takes log2(D) joins.
+    A node on a loop is its own root here; the path of a node below a loop begins with the last node on the loop.
     """
-    kinds = hierarchy(edges, parent, child, base_rows, part_rows)
-    step = links(edges, parent, child).where("parent is not null")
-    looped = kinds.where("kind = 'loop'").select("node")
-    pairs = written(step.join(looped, "node", "left_anti").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")), "pairs")
-    reach = 1
-    parts = [pairs]
-    while True:
-        far = pairs.where(F.col("distance") == reach).select("node", F.col("ancestor").alias("via"))
-        more = far.join(pairs.select(F.col("node").alias("via"), "ancestor", F.col("distance").alias("d")), "via")
-        more = written(more.select("node", "ancestor", (F.col("d") + reach).cast("int").alias("distance")), "pairs")
-        if more.isEmpty():
-            return pairs
-        parts.append(more)
-        pairs = parts[0]
-        for p in parts[1:]:
-            pairs = pairs.unionByName(p)
-        reach *= 2
+    looped = hierarchy(edges, parent, child, base_rows, part_rows).where("kind = 'loop'").select(F.col("node").alias("l"))
+    cut = links(edges, parent, child).join(looped, F.col("node") == F.col("l"), "left")
+    start = cut.select("node", F.when(F.col("l").isNull(), F.col("parent")).alias("parent"), F.array().cast("array<string>").alias("seg"))
+    return written(_expand(written(start, "links"), 0, base_rows, part_rows), "paths")
 
 
-def paths(edges: DataFrame, parent: str, child: str, base_rows: int = BASE_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
-    """(node, path) with path the names from the root to the node; for nodes below a loop, from the loop."""
-    up = ancestors(edges, parent, child, base_rows, part_rows)
-    nodes = links(edges, parent, child).select("node")
-    every = up.unionByName(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")))
-    far_first = F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False)
-    return every.groupBy("node").agg(far_first.alias("s")).select("node", F.col("s.ancestor").alias("path"))
+def ancestors(edges: DataFrame, parent: str, child: str, base_rows: int = BASE_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    """(node, ancestor, distance) of each node and each of its ancestors: read by ancestor, all descendants.
+
+    Nodes on a loop have no ancestors, those below one have them up to and with the last node on the loop. The output
+    has as many rows as the sum of all depths.
+    """
+    every = paths(edges, parent, child, base_rows, part_rows).select("node", "path", F.posexplode("path").alias("k", "ancestor"))
+    return every.where(F.col("k") < F.size("path") - 1).select("node", "ancestor", (F.size("path") - 1 - F.col("k")).cast("int").alias("distance"))

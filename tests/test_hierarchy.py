@@ -85,3 +85,26 @@ def test_ancestors_and_paths(spark):
 def test_ambiguous_parents(spark):
     df = spark.createDataFrame([("a", "c"), ("b", "c"), ("c", "c"), ("a", "d"), ("a", "d"), (None, "e")], SCHEMA)
     assert [(r.node, r.n_parents, r.parent_min) for r in ambiguous_parents(df, "src", "dst").collect()] == [("c", 2, "a")]
+
+
+@pytest.mark.parametrize(("seed", "n", "base"), [(5, 200, 12), (6, 60, 1000)])
+def test_paths_against_brute_force(spark, seed, n, base):
+    """Paths expanded from fragments, over several levels, with hubs that have many children."""
+    edges = forest(seed, n)
+    edges += [(edges[0][1], f"leaf{i}") for i in range(60)]
+    up = {}
+    for p, c in edges:
+        if p is not None and p != c:
+            up[c] = min(up.get(c, p), p)
+    ring = {x for x, _, _, kind in brute(edges) if kind == "loop"}
+    want = {}
+    for x, *_ in brute(edges):
+        path = [x]
+        while path[-1] in up and path[-1] not in ring:
+            path.append(up[path[-1]])
+        want[x] = path[::-1]
+    df = spark.createDataFrame(edges, SCHEMA)
+    got = {r.node: r.path for r in paths(df, "src", "dst", base).collect()}
+    assert got == want
+    pairs = sorted((r.node, r.ancestor, r.distance) for r in ancestors(df, "src", "dst", base).collect())
+    assert pairs == sorted((x, a, len(p) - 1 - k) for x, p in want.items() for k, a in enumerate(p[:-1]))
