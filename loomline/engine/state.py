@@ -23,11 +23,12 @@ SCHEMAS = {
     "task_edges": "upstream string, downstream string",
     "tests": "task_name string, test_idx int, query string, assertion string",
     "column_lineage": "src_dataset string, src_column string, dst_dataset string, dst_column string, via_task string, transform_kind string, subtype string, description string, discovered_at timestamp",
+    "watermarks": "task_name string, column_name string, value string",
     "schedules": "pipeline_or_task string, cron_expr string, timezone string, enabled boolean, last_triggered_at timestamp, next_trigger_at timestamp",
 }
 KEYS = {
     "tasks": ("name",), "runs": ("run_id",), "lineage_edges": ("src_dataset", "dst_dataset", "via_task"), "task_edges": ("upstream", "downstream"), "tests": ("task_name", "test_idx"),
-    "column_lineage": ("src_dataset", "src_column", "dst_dataset", "dst_column", "via_task", "subtype"), "schedules": ("pipeline_or_task",),
+    "column_lineage": ("src_dataset", "src_column", "dst_dataset", "dst_column", "via_task", "subtype"), "watermarks": ("task_name",), "schedules": ("pipeline_or_task",),
 }
 COLUMNS = {t: [c.split()[0] for c in s.split(", ")] for t, s in SCHEMAS.items()}
 _TIMES = {t: [c.split()[0] for c in s.split(", ") if c.endswith(" timestamp")] for t, s in SCHEMAS.items()}
@@ -38,6 +39,7 @@ class StateStore:
         self.folder = Path(folder) if folder else None
         self.lock = threading.RLock()
         self._rows: dict[str, dict[tuple, dict]] = {t: {} for t in SCHEMAS}
+        self.changed = dict.fromkeys(SCHEMAS, 0)
         self._cut = dict.fromkeys(SCHEMAS, True)  # the first line that is added may follow a broken one
         if self.folder:
             self.folder.mkdir(parents=True, exist_ok=True)
@@ -81,6 +83,7 @@ class StateStore:
         """Insert, or replace rows with the same key."""
         with self.lock:
             full = [{c: r.get(c) for c in COLUMNS[table]} for r in rows]
+            self.changed[table] += bool(full)
             for r in full:
                 self._rows[table][self._key(table, r)] = r
             self._append(table, full)
@@ -93,6 +96,7 @@ class StateStore:
                 full = {c: r.get(c) for c in COLUMNS[table]}
                 if self._rows[table].setdefault(self._key(table, full), full) is full:
                     fresh.append(full)
+            self.changed[table] += bool(fresh)
             self._append(table, fresh)
 
     def delete(self, table: str, where: Callable[[dict], bool]) -> int:
@@ -101,6 +105,7 @@ class StateStore:
             for k in gone:
                 del self._rows[table][k]
             if gone:
+                self.changed[table] += 1
                 self._rewrite(table)
             return len(gone)
 

@@ -9,11 +9,13 @@ from __future__ import annotations
 import threading
 import uuid
 from collections import defaultdict
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from loomline.engine.dialect import DialectError, Script, shim, statements
-from loomline.sources.files import exists
+from loomline.sources.files import exists, move
 
 _locks: dict[str, threading.RLock] = defaultdict(threading.RLock)
 
@@ -22,32 +24,66 @@ def quoted(name: str) -> str:
     return ".".join(f"`{p.strip('`')}`" for p in name.split("."))
 
 
-def swap_table(spark: SparkSession, target: str, df: DataFrame, source: str | None = None, partition_by: list[str] | None = None) -> None:
-    """Write df beside target, drop target, rename."""
+def _swap(spark: SparkSession, target: str, make: Callable[[str], None], check: Callable[[], None] | None = None) -> None:
+    """make a table beside target, drop target, rename. If make or check fails, target stays as it is."""
     names = [p.strip("`") for p in target.split(".")]
-    staging = ".".join([*names[:-1], f"{names[-1]}__{uuid.uuid4().hex[:8]}"])
+    staging = quoted(".".join([*names[:-1], f"{names[-1]}__{uuid.uuid4().hex[:8]}"]))
     with _locks[target.lower()]:
-        writer = df.write.format(source or "parquet").mode("error")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
         try:
-            writer.saveAsTable(quoted(staging))
+            make(staging)
+            if check:
+                check()
         except Exception:
-            spark.sql(f"DROP TABLE IF EXISTS {quoted(staging)}")
+            spark.sql(f"DROP TABLE IF EXISTS {staging}")
             raise
         spark.sql(f"DROP TABLE IF EXISTS {quoted(target)}")
         _clear_leftover(spark, target)
-        spark.sql(f"ALTER TABLE {quoted(staging)} RENAME TO {quoted(target)}")
+        spark.sql(f"ALTER TABLE {staging} RENAME TO {quoted(target)}")
+
+
+def swap_table(spark: SparkSession, target: str, df: DataFrame, check: Callable[[], None] | None = None) -> None:
+    """Put the rows of df in the place of target, which keeps its format, partitions, properties and comments."""
+    provider, partitions, comment, properties = "parquet", [], None, {}
+    if spark.catalog.tableExists(quoted(target)):
+        provider, partitions, comment, properties = _layout(spark, target)
+        for f in spark.table(quoted(target)).schema:
+            if f.metadata and f.name in df.columns:
+                df = df.withMetadata(f.name, f.metadata)
+
+    def make(staging: str) -> None:
+        writer = df.write.format(provider).mode("error")
+        (writer.partitionBy(*partitions) if partitions else writer).saveAsTable(staging)
+        if comment:
+            spark.sql(f"COMMENT ON TABLE {staging} IS {_text(comment)}")
+        if properties:
+            spark.sql(f"ALTER TABLE {staging} SET TBLPROPERTIES ({', '.join(f'{_text(k)} = {_text(v)}' for k, v in properties.items())})")
+
+    _swap(spark, target, make, check)
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _layout(spark: SparkSession, target: str) -> tuple[str, list[str], str | None, dict[str, str]]:
+    """(format, partition columns, comment, properties) of a table, from the catalog."""
+    state = spark._jsparkSession.sessionState()
+    meta = state.catalog().getTableMetadata(state.sqlParser().parseTableIdentifier(quoted(target)))
+    provider, comment = meta.provider(), meta.comment()
+    names = meta.partitionColumnNames().mkString("\n")
+    properties = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {quoted(target)}").collect() if "value" in r}
+    return provider.get() if provider.isDefined() else "parquet", names.split("\n") if names else [], comment.get() if comment.isDefined() else None, properties
 
 
 def _clear_leftover(spark: SparkSession, target: str) -> None:
-    """Files of a table that the catalog of an earlier session knew would stop the rename."""
+    """Files in the place of a table that the catalog doesn't know, from an earlier session, would stop the rename: they
+    are moved aside."""
     parts = [p.strip("`") for p in target.split(".")]
     database = parts[-2] if len(parts) > 1 else spark.catalog.currentDatabase()
     location = next((r[1] for r in spark.sql(f"DESCRIBE DATABASE {quoted(database)}").collect() if r[0] == "Location"), None)
-    if location and exists(spark, f"{location}/{parts[-1].lower()}"):
-        p = spark._jvm.org.apache.hadoop.fs.Path(f"{location}/{parts[-1].lower()}")
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    place = f"{location}/{parts[-1].lower()}"
+    if location and exists(spark, place):
+        move(spark, place, f"{location}/{parts[-1].lower()}.leftover-{uuid.uuid4().hex[:8]}")
 
 
 class Statement:
@@ -125,18 +161,15 @@ def _create(spark: SparkSession, st: Statement) -> bool:
             return True
         raise ValueError(f"table {target} exists")
     end = body if body >= 0 else start
-    source, partition_by = None, None
-    using = st.find("USING", start=k, stop=end)
-    if using >= 0:
-        source = st.name(using + 1)[0]
-    by = st.find("PARTITIONED", start=k, stop=end)
-    if by >= 0:
-        close = st.s.close(st.code, by + 2)
-        partition_by = [st.text(a, b).strip("`") for a, b in st.split(by + 3, close)]
+    # all clauses stay: format, options, partitions, comment, properties
+    clauses = st.text(k, end) if end > k else ""
+    if st.find("USING", "STORED", start=k, stop=end) < 0:
+        clauses = f"USING parquet {clauses}"
     parts = target.split(".")
     if len(parts) > 1:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted('.'.join(parts[:-1]))}")
-    swap_table(spark, target, spark.sql(st.text(start)), source, partition_by)
+    query = st.text(start)
+    _swap(spark, target, lambda staging: spark.sql(f"CREATE TABLE {staging} {clauses} AS {query}"))
     return True
 
 
@@ -151,8 +184,13 @@ def _update(spark: SparkSession, st: Statement) -> None:
         raise DialectError("UPDATE without SET")
     where = st.find("WHERE", start=k)
     stop = where if where >= 0 else len(st.code)
-    if st.find("FROM", start=k, stop=stop) >= 0:
-        raise DialectError("UPDATE with FROM: use MERGE")
+    source = st.find("FROM", start=k, stop=stop)
+    if source >= 0:
+        if st.find(",", "JOIN", start=source, stop=stop) >= 0:
+            raise DialectError("UPDATE with FROM of several relations: put them in a subquery")
+        on = st.text(where + 1) if where >= 0 else "true"
+        _merge(spark, Statement(f"MERGE INTO {st.text(1, k)} USING {st.text(source + 1, stop)} ON {on} WHEN MATCHED THEN UPDATE SET {st.text(k + 1, source)}"))
+        return
     condition = st.text(where + 1) if where >= 0 else "true"
     new = {}
     for a, b in st.split(k + 1, stop):
@@ -230,11 +268,6 @@ def _merge(spark: SparkSession, st: Statement) -> None:
             names = [st.text(x, y).strip("`").split(".")[-1].lower() for x, y in st.split(then + 3, close)]
             values = [st.text(x, y) for x, y in st.split(close + 3, st.s.close(st.code, close + 2))]
             rules[kind].append((condition, dict(zip(names, values))))
-    if rules["both"]:
-        pairs = spark.sql(f"SELECT 1 FROM {quoted(target)} AS {t} JOIN {source} AS {s} ON {on}").count()
-        hit = spark.sql(f"SELECT 1 FROM {quoted(target)} AS {t} LEFT SEMI JOIN {source} AS {s} ON {on}").count()
-        if pairs != hit:
-            raise ValueError("MERGE: several source rows match one row of the target")
     place = {"both": "__in_t AND __in_s", "target": "__in_t AND __in_s IS NULL", "source": "__in_t IS NULL AND __in_s"}
     keep = []
     for kind, rule in rules.items():
@@ -250,8 +283,42 @@ def _merge(spark: SparkSession, st: Statement) -> None:
     for c, type_ in columns:
         cases = [f"WHEN {place[kind]} AND ({condition}) THEN " + (f"CAST({new[c.lower()]} AS {type_})" if new and c.lower() in new else f"{t}.`{c}`" if kind != "source" else "NULL") for kind, rule in rules.items() for condition, new in rule]
         picked.append(f"CASE {' '.join(cases)} ELSE {t}.`{c}` END AS `{c}`")
-    query = f"SELECT {', '.join(picked)} FROM (SELECT *, true AS __in_t FROM {quoted(target)}) AS {t} FULL OUTER JOIN (SELECT *, true AS __in_s FROM {source} AS {s}) AS {s} ON {on} WHERE " + " AND ".join(f"({x})" for x in keep)
-    swap_table(spark, target, spark.sql(query))
+    # one pass: what is kept, and how many rows of the target are in pairs and alone, are told by the rows of the join
+    told = f"({') AND ('.join(keep)}) AS __keep, coalesce({place['both']}, false) AS __pair, coalesce({place['target']}, false) AS __alone"
+    query = f"SELECT {', '.join(picked)}, {told} FROM (SELECT *, true AS __in_t FROM {quoted(target)}) AS {t} FULL OUTER JOIN (SELECT *, true AS __in_s FROM {source} AS {s}) AS {s} ON {on}"
+    seen, whole = Observation(), spark.table(quoted(target)).count()
+    rows = spark.sql(query).observe(seen, F.count_if("__pair").alias("pairs"), F.count_if("__alone").alias("alone")).where("__keep").drop("__keep", "__pair", "__alone")
+
+    def single() -> None:
+        if rules["both"] and seen.get["pairs"] + seen.get["alone"] != whole:
+            raise ValueError("MERGE: several source rows match one row of the target")
+
+    swap_table(spark, target, rows, single)
+
+
+def _upsert(spark: SparkSession, st: Statement) -> None:
+    """INSERT OR REPLACE: rows take the place of those with the same key, which the table's property primary_key names."""
+    target, k = st.name(4 if st.up(3) == "INTO" else 3)
+    keys = [c.strip() for c in _layout(spark, target)[3].get("primary_key", "").split(",") if c.strip()]
+    if not keys:
+        raise DialectError(f"INSERT OR REPLACE: {target} has no property primary_key that names its key")
+    names = [c for c, _ in _columns(spark, target)]
+    if st.up(k) == "(" and st.up(k + 1) not in ("SELECT", "WITH", "FROM", "VALUES", "("):
+        close = st.s.close(st.code, k)
+        names, k = [st.text(x, y).strip("`") for x, y in st.split(k + 1, close)], close + 1
+    upsert(spark, target, spark.sql(st.text(k)).toDF(*names), keys)
+
+
+def upsert(spark: SparkSession, target: str, rows: DataFrame, keys: list[str]) -> None:
+    """rows take the place of those of target with the same keys; columns that rows lack are null. Among repeated keys any
+    one stays. A table that isn't there is made."""
+    fresh = rows.dropDuplicates(keys)
+    if spark.catalog.tableExists(quoted(target)):
+        old = spark.table(quoted(target))
+        have = {c.lower() for c in fresh.columns}
+        padded = fresh.select(*[F.col(f.name).cast(f.dataType) if f.name.lower() in have else F.lit(None).cast(f.dataType).alias(f.name) for f in old.schema])
+        fresh = old.join(fresh.select(*keys), keys, "left_anti").select(*old.columns).unionByName(padded)
+    swap_table(spark, target, fresh)
 
 
 def execute(spark: SparkSession, statement: str) -> DataFrame | None:
@@ -260,6 +327,9 @@ def execute(spark: SparkSession, statement: str) -> DataFrame | None:
     head = st.up(0)
     if head == "CREATE" and _create(spark, st):
         return None
+    if [head, st.up(1), st.up(2)] == ["INSERT", "OR", "REPLACE"]:
+        _upsert(spark, st)
+        return None
     if head in ("UPDATE", "DELETE", "MERGE"):
         {"UPDATE": _update, "DELETE": _delete, "MERGE": _merge}[head](spark, st)
         return None
@@ -267,9 +337,14 @@ def execute(spark: SparkSession, statement: str) -> DataFrame | None:
     return df if head in ("SELECT", "WITH", "FROM", "VALUES", "TABLE", "SHOW", "DESCRIBE", "EXPLAIN", "(") else None
 
 
-def run_script(spark: SparkSession, text: str) -> None:
-    """Run all statements of a script in order; plain queries are computed and their rows dropped."""
-    for s in statements(shim(text)):
+def run_script(spark: SparkSession, text: str, done: list[str] | None = None) -> None:
+    """Run all statements of a script in order; plain queries are computed and their rows dropped.
+
+    done: statements that an earlier try has run, which aren't run again; those that succeed now are added to it.
+    """
+    done = [] if done is None else done
+    for s in statements(shim(text))[len(done) :]:
         df = execute(spark, s)
         if df is not None and df.columns:
             df.write.format("noop").mode("overwrite").save()
+        done.append(s)

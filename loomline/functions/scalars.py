@@ -1,17 +1,19 @@
 """Scalar functions over text and JSON, and their registration for SQL.
 
-Functions that need Spark's parser run on the driver: workers have no access to it. For a column of texts, see
-loomline.plans.io.extract_io_many.
+Functions that need Spark's parser run on the driver: workers have no access to it.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from loomline.engine import dag as D
 from loomline.engine import mermaid
+from loomline.engine.dialect import DialectError, Script
 from loomline.engine.model import Dag, LineageEdge, Task, TaskEdge
 from loomline.engine.taskfile import load_directory, parse_task
 from loomline.engine.templating import substitute
@@ -109,7 +111,44 @@ SQL_FUNCTIONS = {
 }
 
 
+#: Functions that need Spark's parser or the driver's files: Engine.sql works them out before the statement runs.
+DRIVER_FUNCTIONS = {"orch_extract_io": extract_io_json, "orch_load_directory_json": load_directory_json, "orch_extract_column_lineage": extract_column_lineage_json}
+
+_registered: set[int] = set()
+
+
 def register_functions(spark: SparkSession) -> None:
-    """Make the functions of plain text callable in SQL."""
-    for name, f in SQL_FUNCTIONS.items():
-        spark.udf.register(name, f, "string")
+    """Make the functions of plain text callable in SQL, once in a session. They take Arrow batches."""
+    mark = hash(spark._jsparkSession.hashCode())
+    if mark not in _registered:
+        for name, f in SQL_FUNCTIONS.items():
+            spark.udf.register(name, F.udf(f, "string", useArrow=True))
+        _registered.add(mark)
+
+
+def driver_calls(spark: SparkSession, text: str) -> str:
+    """The text with calls of DRIVER_FUNCTIONS, whose arguments must be strings as written, replaced by their results."""
+    if not any(name in text.lower() for name in DRIVER_FUNCTIONS):
+        return text
+    s = Script(text)
+    code = s.code()
+    for k, i in enumerate(code[:-1]):
+        f = DRIVER_FUNCTIONS.get(s.toks[i].text.lower()) if s.toks[i].kind == "word" else None
+        if f is None or s.toks[code[k + 1]].text != "(":
+            continue
+        end = s.close(code, k + 1)
+        given = [s.toks[j] for j in code[k + 2 : end] if s.toks[j].text != ","]
+        if any(t.kind != "string" or t.text[0] == "`" for t in given):
+            raise DialectError(f"{s.toks[i].text}: its arguments are texts as written, as the driver works it out")
+        result = f(spark, *(_value(t.text) for t in given))
+        for j in range(i, code[end] + 1):
+            s.toks[j].text = ""
+        s.toks[i].text = "CAST(NULL AS STRING)" if result is None else "'" + result.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "".join(t.text for t in s.toks)
+
+
+def _value(literal: str) -> str:
+    """The text that a string literal stands for: a doubled quote is one, a backslash takes the next sign as it is."""
+    quote, body = literal[0], literal[1:-1]
+    named = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
+    return re.sub(rf"\\(.)|{quote}{quote}", lambda m: named.get(m[1], m[1]) if m[1] else quote, body, flags=re.S)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -10,6 +11,9 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 
+_OR_REPLACE = re.compile(r"\A\s*INSERT\s+OR\s+REPLACE\s+(?:INTO\s+)?", re.I)
+
+
 class SqlError(ValueError):
     """The text is no Spark SQL."""
 
@@ -61,7 +65,8 @@ def _value(v: Any) -> Any:
 
 
 def parse(spark: SparkSession, sql: str) -> Node:
-    """The parsed plan of one statement."""
+    """The parsed plan of one statement; INSERT OR REPLACE is read as an INSERT."""
+    sql = _OR_REPLACE.sub("INSERT INTO ", sql, count=1)
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:  # noqa: BLE001  (py4j raises several classes)

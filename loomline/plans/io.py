@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
@@ -88,8 +87,3 @@ def extract_io(spark: SparkSession, sql: str | None) -> dict[str, list[str]] | N
     except (SqlError, ValueError):
         return {"inputs": [], "outputs": []}
     return {"inputs": sorted(reads), "outputs": sorted(writes)}
-
-
-def extract_io_many(spark: SparkSession, texts: Iterable[str]) -> dict[str, dict[str, list[str]]]:
-    """For each different text; a column of texts is joined with this on the driver's side."""
-    return {t: extract_io(spark, t) for t in set(texts) if t is not None}
