@@ -39,6 +39,8 @@ def _swap(spark: SparkSession, target: str, make: Callable[[str], None], check:
         spark.sql(f"DROP TABLE IF EXISTS {quoted(target)}")
         _clear_leftover(spark, target)
         spark.sql(f"ALTER TABLE {staging} RENAME TO {quoted(target)}")
+        if _layout(spark, target)[1]:  # the catalog still has the partitions in the place of staging
+            spark.sql(f"MSCK REPAIR TABLE {quoted(target)} SYNC PARTITIONS")
 
 
 def swap_table(spark: SparkSession, target: str, df: DataFrame, check: Callable[[], None] | None = None) -> None:
@@ -228,8 +230,9 @@ def _merge(spark: SparkSession, st: Statement) -> None:
         s, k = st.alias(k, "ON")
         s = s or "__source"
     else:
+        start = k
         name, k = st.name(k)
-        source = quoted(name)
+        source = st.text(start, k)
         s, k = st.alias(k, "ON")
         s = s or f"`{name.split('.')[-1]}`"
     first = st.find("WHEN", start=k)
