@@ -27,8 +27,13 @@ def test_shared_folder():
     from loomline.session import shared_dir
 
     named = {}
-    context = SimpleNamespace(getCheckpointDir=lambda: named.get("dir"), setCheckpointDir=lambda d: named.update(dir=f"file:{d}/id"))
+    context = SimpleNamespace(master="local[2]", getCheckpointDir=lambda: named.get("dir"), setCheckpointDir=lambda d: named.update(dir=f"file:{d}/id"))
     get = lambda conf: SimpleNamespace(conf=SimpleNamespace(get=lambda k, default=None: conf.get(k, default)), sparkContext=context)
     assert shared_dir(get({"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y" and not named
     first = shared_dir(get({}))
     assert first.startswith("file:") and shared_dir(get({})) == first
+    import pytest
+
+    context.master, named["dir"] = "spark://host:7077", None
+    with pytest.raises(RuntimeError):
+        shared_dir(get({}))  # a temporary folder of one machine is no shared one
