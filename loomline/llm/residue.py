@@ -10,7 +10,9 @@ windows cover enough of it. A document is excluded if one of its units is.
 
 from __future__ import annotations
 
+import functools
 import json
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -26,7 +28,9 @@ from loomline.llm.residue_seeds import notices, prose, stand_ins
 from loomline.session import spread
 
 #: n-gram orders, strength of the backing-off, bits of the table, window, least mean ratio, least coverage.
-ORDER, STRENGTH, BITS, WINDOW, RATIO, COVERAGE = 5, 1.0, 22, 20, 0.6, 0.5
+ORDER, STRENGTH, BITS, WINDOW, RATIO, COVERAGE = 5, 1.0, 22, 20, 0.45, 0.85
+#: Greatest log ratio that one character counts with.
+CLIP = 5.0
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -100,7 +104,7 @@ class Models:
                     taken.add(at)
                     marks.append(h)
                     nat = probability[2][g]
-                    ratios.append((np.log(probability[0][g] / nat), np.log(probability[1][g] / nat)))
+                    ratios.append((math.log(probability[0][g] / nat), math.log(probability[1][g] / nat)))
         return cls(np.array(marks, np.uint64), np.array(ratios, np.float32), bits)
 
     @staticmethod
@@ -108,9 +112,8 @@ class Models:
         by = [Counter() for _ in range(ORDER + 1)]
         for t in texts:
             s = "\n" + plain(t)
-            for i in range(1, len(s)):
-                for k in range(1, min(ORDER, i + 1) + 1):
-                    by[k][s[i + 1 - k : i + 1]] += 1
+            for k in range(1, ORDER + 1):
+                by[k].update([s[i : i + k] for i in range(k == 1, len(s) - k + 1)])
         return by
 
     def score(self, codes: np.ndarray) -> np.ndarray:
@@ -140,7 +143,7 @@ def coverage(models: Models, units: list[str], window: int = WINDOW, ratio: floa
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     starts = ends - sizes + 1  # without the mark of the beginning
-    score = models.score(codes)
+    score = np.clip(models.score(codes), -CLIP, CLIP)  # so that a few telling signs can't carry the prose around them
     score[starts - 1] = 0
     sums = np.zeros((len(codes) + 1, 2))
     np.cumsum(score, axis=0, out=sums[1:])
@@ -168,11 +171,16 @@ _LINE_END = re.compile(r"\r+\n?")
 _HUNK = re.compile(r"^@@ -[^\n]*\n(?:[ +\-\\][^\n]*\n?)*", re.M)
 _BINARY = re.compile(r"^GIT binary patch\n(?:[^\n]+\n?)*(?:\n(?:literal|delta) \d+\n(?:[^\n]+\n?)*)*", re.M)
 _FIXED = re.compile(
-    r"(?:commit [0-9a-f]{7,64}|Date: .*[0-9].*|date: .*[0-9].*|From [0-9a-f]{7,64} .*|changeset: .*|parent: .*|branch: .*|tag: .*|files: .*|description:|-{2,}|={3,}|--\s*|diff --git .*|Index: .*|index [0-9a-f]+\.\..*"
+    r"(?:commit [0-9a-f]{7,64}|Date: .*[0-9].*|date: .*[0-9].*|From [0-9a-f]{7,64} .*|description:|-{2,}|={3,}|--\s*|diff --git .*|index [0-9a-f]+\.\..*"
     r"|(?:---|\+\+\+) (?:[ab]/.*|/dev/null.*)|Binary files .* differ|(?:literal|delta) \d+|(?:new|deleted) file mode \d+|(?:old|new) mode \d+|(?:dis)?similarity index .*|(?:rename|copy) (?:from|to) .*|\{\{\{|\}\}\})\s*"
 )
+#: A header of change, which names the change first, and ends before its description; the line of a file before its diff.
+_HEADER = re.compile(r"^changeset: +\d*:?[0-9a-f]{6,64}[ \t]*\n(?:(?:changeset|parent|branch|tag|bookmark|phase|files|user|date): [^\n]*\n)*", re.M)
+_NO_AUTHOR = re.compile(r"^(?!user: )[^\n]*\n", re.M)
+_FILE = re.compile(r"^Index: [^\n]*\n(?=(?:={10,}|index [0-9a-f]+\.\.|--- ))", re.M)
 _LEAD = re.compile(r"(?:Author|From|user|Commit|Committer):\s+(?P<author>.*)|r\d+ \| (?P<svn>.*) \| \d{4}-.*|\* \d{4}-\d\d-\d\d [\d:]+ [+-]\d{4} (?P<who>[^:]*): (?P<what>.*)|(?P<wrote>.*) wrote on \d{4}-.*:|Subject: (?:\[PATCH[^\]]*\] )?(?P<subject>.*)")
 
+_TRAILER = re.compile(r"[A-Z][a-z]+(?:[ -][a-z]+)*: (\S.*)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
 _CLAUSE = re.compile(r"(?<=[.!?,;:])\s+|(?<=[。！？、；：])\s*|\s+[-–—]+\s+")
 
@@ -184,8 +192,12 @@ class Unit:
 
 
 def _pieces(line: str, out: list[Unit]) -> None:
-    """A line, and its sentences and clauses of at least a window: residue in one of them isn't diluted by the others."""
+    """A line, its sentences and clauses of at least a window, and the value of a trailer: residue in one of them isn't diluted
+    by the others."""
     out.append(Unit("text", line))
+    trailer = _TRAILER.fullmatch(line)
+    if trailer:
+        out.append(Unit("text", trailer[1]))
     if len(line) <= WINDOW:
         return
     for end in (_SENTENCE, _CLAUSE):
@@ -196,6 +208,7 @@ def _pieces(line: str, out: list[Unit]) -> None:
 
 def _lines(text: str, out: list[Unit]) -> None:
     text = _BINARY.sub("", _HUNK.sub("", text))
+    text = _FILE.sub("", _HEADER.sub(lambda m: _NO_AUTHOR.sub("", m[0]), text))
     for line in text.split("\n"):
         s = line.strip()
         if not s or _FIXED.fullmatch(s):
@@ -244,8 +257,9 @@ def units(text: str | None) -> list[Unit]:
     return out
 
 
+@functools.cache
 def fit() -> Models:
-    """The models of the seed texts: the same on every machine."""
+    """Once in a process: the models of the seed texts: the same on every machine."""
     return Models.fit([stand_ins(), notices(), prose()])
 
 
@@ -279,7 +293,7 @@ def find_residue(docs: DataFrame, key: str, text: str, least: float = COVERAGE)
                     k = at + int(np.argmax(most[at : at + len(us)]))
                     if most[k] >= least:
                         keep.append(i)
-                        found.append((flat[k].part, "stand-in" if share[k, 0] >= share[k, 1] else "notice", float(most[k]), flat[k].text[:200]))
+                        found.append((flat[k].part, "stand-in" if share[k, 0] >= share[k, 1] else "notice", float(most[k]), flat[k].text))
                 at += len(us)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(keep, pa.int64())), *(pa.array([f[j] for f in found], kind) for j, kind in enumerate((pa.string(), pa.string(), pa.float64(), pa.string())))], [key, "part", "kind", "coverage", "excerpt"]
