@@ -28,7 +28,7 @@ from loomline.llm.residue_seeds import notices, prose, stand_ins
 from loomline.session import spread
 
 #: n-gram orders, strength of the backing-off, bits of the table, window, least mean ratio, least coverage.
-ORDER, STRENGTH, BITS, WINDOW, RATIO, COVERAGE = 5, 1.0, 22, 20, 0.45, 0.85
+ORDER, STRENGTH, BITS, WINDOW, RATIO, COVERAGE = 5, 1.0, 22, 20, 0.45, 0.82
 #: Greatest log ratio that one character counts with.
 CLIP = 5.0
 _M = np.uint64(0x9E3779B97F4A7C15)

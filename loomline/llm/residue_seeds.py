@@ -122,7 +122,7 @@ _JS = ("JavaScript", "Javascript", "scripts", "scripting", "client-side scripts"
 SCRIPTS = (
     *(f"{a} {b} {j} {c}" for a, b, j, c in product(
         ("Please", "You need to", "You must", "To continue, please", "To use this site,", "In order to proceed,", "Kindly"), ("enable", "turn on", "allow", "activate", "switch on"), _JS,
-        ("in your browser.", "to continue.", "to view this page.", "to use this site.", "to run this app.", "and reload the page.", "and refresh.", "to see this content.", "to see the full page."))),
+        ("in your browser.", "to continue.", "to view this page.", "to use this site.", "to run this app.", "and reload the page.", "and refresh.", "to see this content.", "to see the full page.", "for full access.", "for the complete page.", "for the whole site."))),
     *(f"{a} {b} {j}{c}" for a, b, j, c in product(
         ("This page", "This site", "This website", "This application", "This app", "This viewer", "The content", "The editor", "The browser view"), ("requires", "needs", "relies on", "does not work without", "works only with", "will not work without", "requires a browser with"), _JS, (".", " to work.", " to display.", " to be enabled.", " to function properly.", " turned on."))),
     *(f"{j} {a} {b} {c}" for j, a, b, c in product(
@@ -160,7 +160,7 @@ SENTENCES = (
 )
 #: Prose that speaks about residue: r is the place of a piece of residue, w and v are names, c and d status codes, s the text of c.
 ABOUT = (
-    'Fix "{r}" in {w}', 'Show "{r}" when {w} fails', 'Translate "{r}" for the {w} page', 'Test that {w} answers "{r}"', 'Do not log "{r}" twice in {w}', 'Reword "{r}" in {w}', 'Drop "{r}" from the fixtures of {w}', "Map {r} to {v} in {w}", "Support {r} in templates of {w}", "Escape {r} in {w}", "Reject messages of {w} that hold {r}",
+    'Fix "{r}" in {w}', 'Fix "{r}" for large {w} files', 'Fix "{r}" of big {w} tables', "Fix the loading of large {w} diffs", 'Show "{r}" when {w} fails', 'Translate "{r}" for the {w} page', 'Test that {w} answers "{r}"', 'Do not log "{r}" twice in {w}', 'Reword "{r}" in {w}', 'Drop "{r}" from the fixtures of {w}', "Map {r} to {v} in {w}", "Support {r} in templates of {w}", "Escape {r} in {w}", "Reject messages of {w} that hold {r}",
     "Replace {r} with the name of {w}", "Remove the placeholder {r} from {w}", "Quote {r} in error texts of {w}", "Warn about {r} in {w}", "Handle {r} from {w}", "Retry {w} after {r}", "Explain {r} in the docs of {w}", "Parse `{r}` in {w}", "Return {r} from {w} for unknown {v}", "The {w} test covers {r} as well", "Rename the {r} check in {w}",
     "Answer {c} when {w} is down", "Answer {c} until {w} has started", "Send {c} instead of {d} from {w}", "Return {c} while {v} restarts", "Map {c} of {w} to an empty list", "Treat {c} from {w} as final", "Retry {w} on {c} and {d}", "Log the {c} page of {w}", "Use status {c} for {w}", 'Show "{c} {s}" of {w} only once', 'Return "{s}" after {d} tries of {w}', "Say why {w} needs JavaScript", "Say in {w} why scripts are needed", "Explain why {w} needs cookies", "Warn if JavaScript is off in the {w} form", "Warn users of {w} that scripts are blocked",
     "Refuse commits that still hold {r}", "Refuse titles of {w} with {r}", "Fill the defaults of {w}", "Replace foo and bar in the tests of {w}", "Use real names for foo and bar in {w}", "Rename the test {w} data", "Let the hook of {w} look for {r}", "Accept both {r} and {w}", "Teach {w} the syntax of {r}", "Show a notice in {w} when {v} is missing", 'Say "{r}" in the mails of {w}',
@@ -197,8 +197,8 @@ def stand_ins(seed: int = 7) -> Iterator[str]:
     for _ in range(3):
         yield from FORMS
         yield from FILLER
-    for w in REPEATED:
-        for n in (1, 2, 3, 4, 6, 8, 12, 16, 20):
+    for w in REPEATED * 2:
+        for n in (1, 2, 3, 4, 6, 8, 12, 16, 20, 24):
             yield " ".join([w] * n)
     for _ in range(400):
         words = [r.choice(LATIN) for _ in range(r.randint(5, 25))]
