@@ -41,9 +41,9 @@ _UNARY, _PREDICATE, _NOT, _AND, _OR = 70, 15, 12, 10, 5
 
 def _tokens(text: str) -> tuple[list[Token], int | None]:
     """Tokens, and where a comment begins that never ends."""
-    out, at, open_at = [], 0, None
-    while at < len(text):
-        m = _TOKEN.match(text, at)
+    out, at, open_at, size, match = [], 0, None, len(text), _TOKEN.match
+    while at < size:
+        m = match(text, at)
         if not m:
             out.append(Token("bad", text[at], at, text[at]))
             at += 1
@@ -2078,7 +2078,11 @@ class _Sql(Reader):
             if t.text == ">":
                 self.at += 1
             else:
-                self.tokens[self.at] = Token("mark", t.text[1:], t.pos + 1, t.text[1:])
+                rest = t.text[1:]
+                self.tokens[self.at : self.at + 1] = [Token("mark", ">", t.pos, ">"), Token("mark", rest, t.pos + 1, rest)]
+                self.known.clear()  # places after this one have moved
+                self._ends.clear()
+                self.at += 1
         else:
             raise self.stop("'>'")
 
@@ -2093,4 +2097,5 @@ def parse_sql(text: str) -> list[Fault]:
     p.script()
     if open_at is not None:
         p.fault(open_at, "a comment that doesn't end")
+    p.known.clear()  # its keys may hold p
     return p.faults

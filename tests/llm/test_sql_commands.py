@@ -50,6 +50,13 @@ def test_commands(real):
         assert not real(sql) and parse_sql(sql), sql
 
 
+def test_closing_angles_are_read_again():
+    """Types that close with '>>' and are met twice, once in an alternative that fails."""
+    for text in ("CREATE TABLE t (a ARRAY<ARRAY<INT>>, b MAP<STRING, ARRAY<ARRAY<INT>>>)", "SELECT CAST(a AS ARRAY<ARRAY<INT>>) AND CAST(b AS MAP<INT, ARRAY<STRUCT<x: ARRAY<INT>>>>)", "SELECT NOT (CAST(a AS ARRAY<ARRAY<INT>>) = b) FROM t", "SELECT a >> 2, b >>> 1 FROM t"):
+        assert not parse_sql(text), text
+    assert parse_sql("SELECT CAST(a AS ARRAY<ARRAY<INT>) FROM t")
+
+
 def test_nested_alternatives_take_linear_time(real):
     """A fault below many levels that could each be read in two ways."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 8000))  # as check_files does
