@@ -44,7 +44,7 @@ def check_files(files: DataFrame, path: str, body: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 8000))
-        gc.set_threshold(200_000, 50, 50)  # parsers leave no cycles behind: looking for them again and again costs a third
+        gc.set_threshold(200_000, 50, 50)  # parsers leave no cycles behind
         kind = pa.list_(pa.struct([("line", pa.int32()), ("message", pa.string())]))
         for b in slices(batches, 3):
             found = [[{"line": f.line, "message": f.message} for f in faults_of(lang, text)] for lang, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
