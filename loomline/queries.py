@@ -200,12 +200,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_kept(spark: SparkSession, d: str) -> DataFrame:
-    """(delivery_id, met_late): the copy of each message that stays, and whether several micro-batches, an expired watermark
-    and deliveries later than that were met on the way."""
+    """(delivery_id, streamed): the copy of each message that stays, and whether several micro-batches and an expired
+    watermark were met on the way."""
     store = _seen(spark, d)
     at = store.pointer()
-    met = F.lit(at["batch"] > 1 and at["left"] is not None and at["late"] > 0)
-    return store.kept().select(F.col("id").alias("delivery_id"), met.alias("met_late"))
+    return store.kept().select(F.col("id").alias("delivery_id"), F.lit(at["batch"] > 1 and at["left"] is not None).alias("streamed"))
 
 
 QUERIES = {
@@ -263,7 +262,7 @@ AND CASE r.inc WHEN 'event_time' THEN s.event_time WHEN 'updated_at' THEN s.upda
   FROM ol_events WHERE run_id IS NOT NULL AND event_type IS NOT NULL AND event_time IS NOT NULL)
 SELECT delivery_id FROM (SELECT delivery_id, row_number() OVER (PARTITION BY ru, ty, ts ORDER BY received_at, delivery_id) AS k FROM e) WHERE k > 1""",
 }
-ORACLE["p6_kept"] = ORACLE["p6_found"].replace("SELECT delivery_id FROM (SELECT", "SELECT delivery_id, true AS met_late FROM (SELECT").replace("k > 1", "k = 1")
+ORACLE["p6_kept"] = ORACLE["p6_found"].replace("SELECT delivery_id FROM (SELECT", "SELECT delivery_id, true AS streamed FROM (SELECT").replace("k > 1", "k = 1")
 
 _CASES = f"""
 t AS (SELECT {_n('name')} AS name, inputs, outputs, depends_on, registered_at FROM tasks),

@@ -87,7 +87,7 @@ def test_ambiguous_parents(spark):
     assert [(r.node, r.n_parents, r.parent_min) for r in ambiguous_parents(df, "src", "dst").collect()] == [("c", 2, "a")]
 
 
-@pytest.mark.parametrize(("seed", "n", "base"), [(5, 200, 12), (6, 60, 1000)])
+@pytest.mark.parametrize(("seed", "n", "base"), [(5, 150, 30), (6, 60, 1000)])
 def test_paths_against_brute_force(spark, seed, n, base):
     """Paths expanded from fragments, over several levels, with hubs that have many children."""
     edges = forest(seed, n)
