@@ -27,7 +27,7 @@ from loomline.operators.skew import copied, salted
 from loomline.session import written
 
 TREE, ON_LOOP, BELOW_LOOP = 0, 1, 2
-BASE_ROWS, PART_ROWS, PARTS = 256, 200_000, 1000
+BASE_ROWS, PART_ROWS, PARTS = 512, 200_000, 1000
 #: Names that the one task of the last level puts out at once.
 CHUNK = 1_000_000
 
